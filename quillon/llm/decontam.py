@@ -244,3 +244,20 @@ def digest(found: DataFrame) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
     )
+
+
+SQL = r"""
+with low as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+d as (select doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from low),
+b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from benchmark),
+k as (select item_id, ws, least(13, len(ws)) as n from b where len(ws) > 0),
+w as (select distinct item_id, n, array_to_string(ws[i : i + n - 1], ' ') as s from k, unnest(range(1, cast(len(ws) - n + 2 as bigint))) as u(i)),
+z as (select distinct n from w),
+x as (select doc_id, n, i, array_to_string(ws[i : i + n - 1], ' ') as s from d, z, unnest(range(1, cast(greatest(len(ws) - n + 2, 1) as bigint))) as u(i)),
+o as (select x.doc_id, x.i, x.n, w.item_id from x join w on x.n = w.n and x.s = w.s),
+h as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from o) group by doc_id),
+t as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as items from (select distinct doc_id, cast(item_id as varchar) as item_id from o) group by doc_id)
+select d.doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
+    sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) as contaminated
+from d left join h on d.doc_id = h.doc_id left join t on d.doc_id = t.doc_id
+"""
