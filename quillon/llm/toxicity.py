@@ -20,8 +20,8 @@ from quillon.session import ship, stored
 
 #: Labelled rows of each class that the fit reads, about (drawn by a hash of the id), and marked words at most.
 ROWS, WORDS = 6000, 2000
-#: A marked word occurs in so many sampled toxic rows, and so many times oftener in toxic rows than in clean ones.
-LEAST, TIMES = 4, 8.0
+#: A marked word occurs in so many sampled toxic rows, and in one of so many at least, and so many times oftener than in clean rows.
+LEAST, SHARE, TIMES = 2, 500, 8.0
 GRADES = 4
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -108,7 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model | None:
         return None
     seen = sample.select("toxic", "text").mapInArrow(_distinct, "toxic int, word string").groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
     ratio = ((F.col("bad") + 0.5) / n[1]) / ((F.col("good") + 0.5) / n[0])
-    words = [r["word"] for r in seen.where((F.col("bad") >= LEAST) & (ratio >= TIMES)).orderBy((F.col("bad") * F.log(ratio)).desc(), "word").limit(WORDS).collect()]
+    words = [r["word"] for r in seen.where((F.col("bad") >= max(LEAST, n[1] // SHARE)) & (ratio >= TIMES)).orderBy((F.col("bad") * F.log(ratio)).desc(), "word").limit(WORDS).collect()]
     model = Model(words, np.zeros(0), np.zeros(0))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
