@@ -35,7 +35,7 @@ SIZE, GRAM = 50, 26
 SPAN = SIZE - GRAM + 1
 WIDTH = SIZE + SPAN - 1
 #: Bytes of text in a part, and of text for each bucket of anchors, about; parts an anchor may be in before it is split.
-PART, BUCKET, HOT = 16 << 20, 16 << 20, 24
+PART, BUCKET, HOT = 8 << 20, 16 << 20, 24
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -127,7 +127,9 @@ class Part:
             parts = -(-count // SPAN)
             nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
             begin, count = np.repeat(begin, parts) + nth * SPAN, np.minimum(SPAN, np.repeat(count, parts) - nth * SPAN)
-        yield key[begin], ok[begin] + a, count, who[begin]
+        spread = key[begin] * np.uint64(0xD6E8FEB86659FD93)  # smallest hashes are small: one to one, over the whole range
+        spread ^= spread >> np.uint64(32)
+        yield spread * _MUL, ok[begin] + a, count, who[begin]
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -213,16 +215,18 @@ def _send_contexts(buckets: int):
             nth = np.arange(len(one)) - np.repeat(np.cumsum(count[often]) - count[often], count[often])
             at = start[one] + nth
             own = np.zeros(len(at), np.uint64)
-            for off in (*range(0, SIZE - 8, 8), SIZE - 8):
-                x = part.blob[at[:, None] + np.arange(off, off + 8)]
-                own = (own ^ np.ascontiguousarray(x).view(np.uint64).ravel()) * _MUL
-                own ^= own >> np.uint64(29)
+            for i in range(0, len(at), 1 << 15):
+                s = slice(i, i + (1 << 15))
+                for off in (*range(0, SIZE - 8, 8), SIZE - 8):
+                    x = part.blob[at[s, None] + np.arange(off, off + 8)]
+                    own[s] = (own[s] ^ np.ascontiguousarray(x).view(np.uint64).ravel()) * _MUL
+                    own[s] ^= own[s] >> np.uint64(29)
             own ^= own >> np.uint64(32)
             h = np.concatenate([h[~often], own])
             start, count, row = np.concatenate([start[~often], at]), np.concatenate([count[~often], np.ones(len(at), np.int64)]), np.concatenate([row[~often], row[one]])
         ctx = np.zeros((len(h), WIDTH), np.uint8)
-        for i in range(0, len(h), 1 << 16):
-            s = slice(i, i + (1 << 16))
+        for i in range(0, len(h), 1 << 14):
+            s = slice(i, i + (1 << 14))
             ctx[s] = part.blob[start[s, None] + np.arange(WIDTH)]
             ctx[s][np.arange(WIDTH)[None, :] >= (count[s] + SIZE - 1)[:, None]] = 0
         first, which = _distinct(ctx, count, h)
