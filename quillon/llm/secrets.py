@@ -86,18 +86,21 @@ def _base(text: Column, kind: int) -> Column:
     return F.transform(long_, lambda m: F.struct(m["start"].alias("start"), F.lit(kind).alias("kind"), m["stop"].alias("stop")))
 
 
-def _normal(z: Column) -> Column:
+def _normal(x: Column) -> Column:
     """The standard normal distribution function up to 1e-7, by Abramowitz and Stegun 26.2.17."""
-    t = 1 / (1 + 0.2316419 * F.abs(z))
-    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    tail = F.exp(-z * z / 2) / math.sqrt(2 * math.pi) * poly
-    return F.when(z < 0, tail).otherwise(1 - tail)
 
+    def tail(z: Column) -> Column:
+        poly = lambda t: t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+        return F.exp(-z * z / 2) / math.sqrt(2 * math.pi) * _let(1 / (1 + 0.2316419 * F.abs(z)), poly)
 
-def _evidence(z: Column) -> Column:
-    """-log10 of the lower tail at z; far out by its expansion, where the tail itself would be 0."""
-    far = (z * z / 2 + F.log(F.greatest(-z, F.lit(1.0))) + 0.9189385) / math.log(10)
-    return F.when(z < -5, far).otherwise(F.greatest(-F.log10(F.greatest(_normal(z), F.lit(1e-12))), F.lit(0.0)))
+    return _let(x, lambda z: _let(tail(z), lambda p: F.when(z < 0, p).otherwise(1 - p)))
+
+
+def _evidence(x: Column) -> Column:
+    """-log10 of the lower tail at x; far out by its expansion, where the tail itself would be 0."""
+    far = lambda z: (z * z / 2 + F.log(F.greatest(-z, F.lit(1.0))) + 0.9189385) / math.log(10)
+    near = lambda z: F.greatest(-F.log10(F.greatest(_normal(z), F.lit(1e-12))), F.lit(0.0))
+    return _let(x, lambda z: F.when(z < -5, far(z)).otherwise(near(z)))
 
 
 def battery(value: Column) -> Column:
@@ -114,13 +117,12 @@ def battery(value: Column) -> Column:
             s, n, halves, place = x["s"], x["n"], x["h"], x["r"]
             counts = F.transform(F.split(F.lit(alphabet), ""), lambda c: (n - F.length(F.replace(s, c, F.lit("")))).cast("double"))
             chi2 = _sum(F.transform(counts, lambda c: c * c)) * size / n - n
-            ones = F.length(F.replace(halves, F.lit("0"), F.lit(""))).cast("double")
-            mean = 2 * ones * (n - ones) / n + 1
-            spread = F.sqrt(F.greatest((mean - 1) * (mean - 2) / (n - 1), F.lit(1e-9)))
-            runs = 2 * _normal(-F.abs((F.length(F.regexp_replace(halves, "0+|1+", "x")) - mean) / spread))
-            serial = _let(_sum(place) / n, lambda m: _let(F.transform(place, lambda x: x - m), lambda d: (
-                _sum(F.zip_with(F.slice(d, F.lit(1), F.size(d) - 1), F.slice(d, F.lit(2), F.size(d) - 1), lambda a, b: a * b))
-                / F.greatest(_sum(F.transform(d, lambda a: a * a)), F.lit(1e-9)))))
+            mean = _let(F.length(F.replace(halves, F.lit("0"), F.lit(""))).cast("double"), lambda ones: 2 * ones * (n - ones) / n + 1)
+            spread = lambda m: F.sqrt(F.greatest((m - 1) * (m - 2) / (n - 1), F.lit(1e-9)))
+            runs = 2 * _normal(-F.abs(_let(mean, lambda m: (F.length(F.regexp_replace(halves, "0+|1+", "x")) - m) / spread(m))))
+            pairs = lambda d: _sum(F.zip_with(F.slice(d, F.lit(1), F.size(d) - 1), F.slice(d, F.lit(2), F.size(d) - 1), lambda a, b: a * b))
+            squares = lambda d: F.greatest(_sum(F.transform(d, lambda a: a * a)), F.lit(1e-9))
+            serial = _let(_let(_sum(place) / n, lambda m: F.transform(place, lambda y: y - m)), lambda d: pairs(d) / squares(d))
             serial_p = 2 * _normal(-F.abs((serial + 1 / n) * F.sqrt(n)))
             z = lambda c: (c - (size - 1 + n * extra)) / F.sqrt(2 * (size - 1 + 2 * n * extra))
             return _let(F.struct(chi2.alias("c"), runs.alias("r"), serial_p.alias("p")), lambda y: F.struct(
@@ -198,8 +200,7 @@ def find_secrets(docs: DataFrame, level: float = LEVEL) -> DataFrame:
 def redacted(docs: DataFrame, level: float = LEVEL, mark: str = "[redacted]") -> DataFrame:
     """docs with every secret in text replaced by `mark` (overlapping spans by one); n_chars, if there, is the new
     length where a text changed. All rows and columns stay; texts are read twice, as the thresholds need all of them."""
-    found = scan(F.col("text"))
-    least = thresholds(docs.select(found.alias("found")), level)
+    least = thresholds(docs.select(scan(F.col("text")).alias("found")), level)
     state = "struct<out:string,at:bigint>"
 
     def replace(text: Column, spans: Column) -> Column:
@@ -211,13 +212,17 @@ def redacted(docs: DataFrame, level: float = LEVEL, mark: str = "[redacted]") ->
         first = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")).cast(state)
         return F.aggregate(spans, first, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
 
+    def changed(text: Column) -> Column:
+        """The new text, or null where nothing is found; the scan stands once in the expression."""
+        spans = lambda f: _all_spans(f, least)
+        return _let(scan(text), lambda f: _let(spans(f), lambda s: F.when(F.size(s) > 0, replace(text, s))))
+
     names = docs.columns
-    whole = docs.select(*[F.col(f"`{c}`") for c in names], _all_spans(found, least).alias("_spans"))
-    hit = F.size("_spans") > 0
-    text = F.col("text").cast("string")
-    out = whole.withColumn("_new", F.when(hit, replace(text, F.col("_spans"))).otherwise(text))
-    cols = [F.col("_new").alias(c) if c == "text" else F.when(hit, F.length("_new").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in names]
-    return out.select(*cols)
+    out = docs.withColumn("_new", changed(F.col("text").cast("string")))
+    values = {"text": F.coalesce("_new", "text")}
+    if "n_chars" in names:
+        values["n_chars"] = F.when(F.col("_new").isNotNull(), F.length("_new").cast("long")).otherwise(F.col("n_chars"))
+    return out.select(*[values[c].alias(c) if c in values else F.col(f"`{c}`") for c in names])
 
 
 def digest(found: DataFrame) -> DataFrame:
