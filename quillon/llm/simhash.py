@@ -26,6 +26,8 @@ from quillon.session import ship, stored
 
 #: Rows that may meet under one key in one task; beyond, they are dealt out again.
 HOT = 4096
+#: Ids of removed documents up to which they are broadcast, 8 bytes each.
+BROADCAST = 1_000_000
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -204,8 +206,11 @@ def kept(docs: DataFrame, **options: int) -> DataFrame:
     from pyspark.sql import Window
 
     groups = near_duplicates(docs, **options)
-    heads = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("head_id"), F.col("fp").alias("head_fp")).distinct()
-    found = docs.join(heads, F.col("doc_id").eqNullSafe(F.col("head_id")), "left_semi")
+    head = F.max(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    gone = stored(groups.groupBy("doc_id").agg(head.alias("head")).where("not head").select(F.col("doc_id").alias("gone_id")), "near-copies")
+    # few enough ids go to all executors, so that the texts needn't move; else both sides are dealt by id
+    side = F.broadcast(gone) if gone.count() <= BROADCAST else gone
+    found = docs.join(side, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
     again = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
     if not again:
         return found
