@@ -28,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.session import fresh_path, ship, stored
+from quillon.session import fresh_path, release, ship, stored
 
 #: Bytes of a repeated string; of an anchor's string; windows that share an anchor, at most.
 SIZE, GRAM = 50, 26
 SPAN = SIZE - GRAM + 1
 WIDTH = SIZE + SPAN - 1
 #: Bytes of text in a part, and of text for each bucket of anchors, about; parts an anchor may be in before it is split.
-PART, BUCKET, HOT = 8 << 20, 16 << 20, 24
+PART, BUCKET, HOT = 8 << 20, 16 << 20, 1000
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -361,6 +361,8 @@ def repeated_spans(docs: DataFrame, with_kept: bool = False, part_bytes: int = P
     rows = rows.withColumn("rid", F.monotonically_increasing_id()).withColumn("part", F.pmod(F.xxhash64("doc_id", "text", "rid"), F.lit(parts)).cast("int"))
     # bucketed, so that no later pass moves the texts again
     rows.repartition(parts, "part").write.bucketBy(parts, "part").option("path", fresh_path(spark, "parts")).option("compression", "zstd").saveAsTable(name)
+    del rows
+    release(spark)
     texts = spark.table(name)
     anchors = texts.groupBy("part").applyInArrow(_send_anchors(buckets), "bucket int, part int, data binary")
     flags = anchors.groupBy("bucket").applyInArrow(_find_repeats(hot), "part int, bucket int, data binary")
