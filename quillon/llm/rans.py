@@ -20,23 +20,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import bpe
 from quillon.session import discard, fresh_path, ship, stored
 
-#: Ids in a block at least (the last of a part may be shorter), lanes, steps between checkpoints, bits of the table.
+#: Ids in a block at least (the last of a part may be shorter), lanes, steps between checkpoints, bits of the table at most.
 BLOCK, LANES, EVERY, BITS = 1 << 19, 2048, 128, 20
+#: Parts up to which their bounds go into one expression; beyond, the engine samples the rows itself.
+LEAVES = 2048
 LOW = np.uint64(1 << 31)
 _HEAD = struct.Struct("<4sIIIIIII")
 _MAGIC = b"qra1"
 
 
-def scaled(counts: dict[int, int], bits: int = BITS) -> dict[int, int]:
-    """Frequencies that sum to 2**bits, at least 1 for each id that occurs."""
+def scaled(counts: dict[int, int], bits: int | None = None) -> dict[int, int]:
+    """Frequencies that sum to 2**bits, at least 1 for each id that occurs. By default the table has four slots an id, so
+    that decoding stays in the processor's cache, up to BITS."""
     if not counts:
         return {}
+    bits = bits or min(BITS, max(12, (4 * len(counts) - 1).bit_length()))
     ids = np.array(sorted(counts), np.int64)
     n = np.array([counts[int(i)] for i in ids], np.float64)
     if len(ids) > 1 << bits:
@@ -58,14 +62,13 @@ def scaled(counts: dict[int, int], bits: int = BITS) -> dict[int, int]:
 class Table:
     """The shared table laid out for coding."""
 
-    def __init__(self, freq: dict[int, int], bits: int = BITS):
+    def __init__(self, freq: dict[int, int]):
         size = max(freq, default=0) + 1
-        self.bits = bits
+        self.bits = bits = max(1, sum(freq.values()).bit_length() - 1)
         self.freq = np.zeros(size, np.uint64)
         for k, f in freq.items():
             self.freq[k] = f
         self.first = np.concatenate([[0], np.cumsum(self.freq)[:-1]]).astype(np.uint64)
-        self.limit = self.freq << np.uint64(63 - bits)
         self._slot: np.ndarray | None = None
 
     @property
@@ -81,14 +84,14 @@ def encode(ids: np.ndarray, table: Table, lanes: int = LANES, every: int = EVERY
     lanes = max(1, min(lanes, n))
     steps = -(-n // lanes)
     state = np.full(lanes, LOW, np.uint64)
-    bits, low32, b32 = np.uint64(table.bits), np.uint64(0xFFFFFFFF), np.uint64(32)
+    bits, low32, b32, room = np.uint64(table.bits), np.uint64(0xFFFFFFFF), np.uint64(32), np.uint64(63 - table.bits)
     words: list[np.ndarray] = [np.empty(0, np.uint32)] * steps
     marks: dict[int, np.ndarray] = {}
     for t in range(steps - 1, -1, -1):
         sym = ids[t * lanes : (t + 1) * lanes]
         x = state[: len(sym)]
         f = table.freq[sym]
-        full = np.flatnonzero(x >= table.limit[sym])
+        full = np.flatnonzero(x >> room >= f)
         out = x[full]
         words[t] = (out & low32).astype(np.uint32)
         x[full] = out >> b32
@@ -143,7 +146,7 @@ def decode(data: bytes, table: Table, segment: int | None = None) -> np.ndarray:
     return out
 
 
-_ROWS = "part int, block int, start long, n long, doc_ids binary, nulls binary, lens binary, ids binary"
+_ROWS = "part int, block int, start long, n long, doc_ids binary, nulls binary, lens binary, ids binary, counts binary"
 
 
 def _to_blocks(path: str, end: int, block: int):
@@ -153,20 +156,25 @@ def _to_blocks(path: str, end: int, block: int):
         enc, part = bpe.encoder(path), TaskContext.get().partitionId()
         tail = struct.pack("<I", end)
         docs, lens, held, size, done, at = [], [], [], 0, 0, 0
+        total = np.zeros(0, np.int64)
 
-        def row():
+        def row(last: bool = False):
+            nonlocal total
             ids = np.frombuffer(b"".join(held), "<u4")
+            got = np.bincount(ids, minlength=len(total))
+            got[: len(total)] += total
+            total = got
             kind = "<u2" if enc.vocab_size <= 1 << 16 else "<u4"
             known = np.array([0 if d is None else d for d in docs], "<i8")
             nulls = np.array([d is None for d in docs], np.uint8)
-            cells = [part, at, done, len(ids), known.tobytes(), nulls.tobytes(), np.array(lens, "<u4").tobytes(), ids.astype(kind).tobytes()]
-            types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
+            cells = [part, at, done, len(ids), known.tobytes(), nulls.tobytes(), np.array(lens, "<u4").tobytes(), ids.astype(kind).tobytes(), total.astype("<i8").tobytes() if last else None]
+            types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
             names = [x.split()[0] for x in _ROWS.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, types, strict=True)], names)
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                got = enc.encode(text) + tail
+            for doc, ids in zip(batch.column(0).to_pylist(), enc.encode_many(batch.column(1).to_pylist()), strict=True):
+                got = ids + tail
                 docs.append(doc)
                 lens.append(len(got) // 4)
                 held.append(got)
@@ -175,8 +183,7 @@ def _to_blocks(path: str, end: int, block: int):
                     yield row()
                     done, at = done + size, at + 1
                     docs, lens, held, size = [], [], [], 0
-        if docs:
-            yield row()
+        yield row(last=True)  # with the part's counts, even if it has no documents
 
     return run
 
@@ -188,14 +195,32 @@ def _ids(cell: bytes, n: int) -> np.ndarray:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, np.int64)
     for batch in batches:
-        for n, cell in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            got = np.bincount(_ids(cell.as_py(), n), minlength=len(total))
-            got[: len(total)] += total
-            total = got
+        for cell in batch.column(0).drop_null():
+            got = np.frombuffer(cell.as_py(), "<i8").copy()
+            size = max(len(got), len(total))
+            total = np.pad(got, (0, size - len(got))) + np.pad(total, (0, size - len(total)))
     used = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "n"])
 
 
+def _ranges(rows: DataFrame, parts: int) -> DataFrame:
+    """rows dealt to parts by ranges of doc_id. Only doc_id is read for the bounds, of which there is one a part."""
+    if parts > LEAVES:
+        return rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first())
+    at = rows.where("doc_id is not null").approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts) if parts > 1 else []
+    bounds = sorted({int(x) for x in at})
+    if not bounds:
+        return rows.coalesce(1)
+    # how many bounds are at or under doc_id, by halving
+    def under(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(F.col("doc_id") >= bounds[mid], under(mid + 1, hi)).otherwise(under(lo, mid))
+
+    return rows.repartitionById(len(bounds) + 1, F.coalesce(under(0, len(bounds)), F.lit(0)))
+
+
 def write_tokens(docs: DataFrame, path: str | None = None, vocabulary: str | None = None, end: int = 0, block: int = BLOCK, lanes: int = LANES, every: int = EVERY) -> str:
     """Write the token files of docs (doc_id, text); the folder's path. See the module for nulls, ties and empty tables.
 
@@ -207,10 +232,10 @@ def write_tokens(docs: DataFrame, path: str | None = None, vocabulary: str | Non
     vocabulary = vocabulary or bpe.vocabulary()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    plain = stored(rows.mapInArrow(_to_blocks(vocabulary, end, block), _ROWS), "token-blocks", compression="zstd")
+    rows = _ranges(rows, parts).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    plain = stored(rows.mapInArrow(_to_blocks(vocabulary, end, block), _ROWS), "token-blocks", compression="snappy")
     del rows
-    counts = {r["id"]: r["n"] for r in plain.select("n", "ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()}
+    counts = {r["id"]: r["n"] for r in plain.select("counts").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()}
     freq = scaled(counts)
     sums = plain.groupBy("part").agg(F.sum("n").alias("ids"), F.sum(F.length("lens") / 4).cast("long").alias("docs")).orderBy("part").collect()
     base, index = 0, []
@@ -224,12 +249,13 @@ def write_tokens(docs: DataFrame, path: str | None = None, vocabulary: str | Non
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Table(shared.value)
         for batch in batches:
-            data = [encode(_ids(c.as_py(), n), table, lanes, every) for n, c in zip(batch.column("n").to_pylist(), batch.column("ids"), strict=True)]
             keep = ["part", "block", "start", "doc_ids", "nulls", "lens"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(data, pa.binary())], [*keep, "payload"])
+            for i, n in enumerate(batch.column("n").to_pylist()):
+                data = encode(_ids(batch.column("ids")[i].as_py(), n), table, lanes, every)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, 1) for k in keep), pa.array([data], pa.binary())], [*keep, "payload"])
 
     out = "part int, block int, start long, doc_ids binary, nulls binary, lens binary, payload binary"
-    plain.mapInArrow(code, out).write.option("compression", "zstd").parquet(f"{path}/blocks")
+    plain.where("n > 0").drop("counts").mapInArrow(code, out).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     discard(plain)
     return path
 
@@ -244,7 +270,8 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Table(shared.value)
         for batch in batches:
-            for r in batch.to_pylist():
+            for i in range(batch.num_rows):  # one block at a time is held
+                r = {k: batch.column(k)[i].as_py() for k in batch.schema.names}
                 ids = decode(r["payload"], table).astype("<u4").tobytes()
                 lens = np.frombuffer(r["lens"], "<u4").astype(np.int64)
                 ends = np.cumsum(lens)
