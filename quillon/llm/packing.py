@@ -25,8 +25,8 @@ from quillon.session import ship, stored
 CAPACITY = 1024
 #: Nodes of the branch-and-bound search, and fillings tried at a node, before the incumbent stands.
 NODES, WIDTH = 150, 24
-#: Pieces in a bucket within which ranks are counted, about.
-BUCKET = 50_000
+#: Pieces of one length in a bucket within which ranks are counted, about.
+BUCKET = 500
 
 Shape = tuple[tuple[int, int], ...]  # (length, how many), longest first
 
@@ -100,7 +100,8 @@ def bound(counts: dict[int, int], capacity: int) -> int:
     """Bins needed at least: by the sum, and by pieces over half a bin with what can't join them."""
     total = sum(x * n for x, n in counts.items())
     best = -(-total // capacity)
-    for k in {0, *(x for x in counts if 2 * x <= capacity)}:
+    small_lengths = sorted(x for x in counts if 2 * x <= capacity)
+    for k in {0, *small_lengths[:: max(1, len(small_lengths) // 16)]}:  # any k gives a bound
         big = sum(n for x, n in counts.items() if x > capacity - k)
         half = [(x, n) for x, n in counts.items() if capacity - k >= x and 2 * x > capacity]
         free = sum(n * (capacity - x) for x, n in half)
@@ -166,8 +167,9 @@ def _cut(path: str, end: int, capacity: int, with_ids: bool):
         types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
         for batch in batches:
             cols: list[list] = [[] for _ in names]
-            for doc, tie, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                ids = memoryview(enc.encode(text) + tail)
+            docs, ties, texts = (batch.column(i).to_pylist() for i in range(3))
+            for doc, tie, own in zip(docs, ties, enc.encode_many(texts), strict=True):
+                ids = memoryview(own + tail)
                 n = len(ids) // 4
                 at, piece = 0, 0
                 to = n % capacity or capacity
@@ -203,8 +205,9 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end: int = 2, vocabulary: st
             at += k * length
         first += many
     # ranks among equals: rows by bucket, then buckets by their sums, so that no task holds all pieces of a length
-    buckets = max(1, sum(counts.values()) // BUCKET)
-    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "tie", "piece"), F.lit(buckets)))
+    dealt = spark.createDataFrame([(x, -(-n // BUCKET)) for x, n in counts.items()], "d_length int, d_buckets int")  # at most `capacity` rows
+    pieces = pieces.join(F.broadcast(dealt), F.col("length") == F.col("d_length"))
+    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "tie", "piece"), F.col("d_buckets"))).drop("d_length", "d_buckets")
     sums = pieces.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     sums = sums.select(F.col("length").alias("s_length"), F.col("bucket").alias("s_bucket"), F.coalesce(before, F.lit(0)).alias("before"))
