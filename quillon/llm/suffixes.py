@@ -36,15 +36,25 @@ SPAN = SIZE - GRAM + 1
 WIDTH = SIZE + SPAN - 1
 #: Bytes of text in a part, and of text for each bucket of anchors, about; parts an anchor may be in before it is split.
 PART, BUCKET, HOT = 8 << 20, 16 << 20, 1000
+#: Of zstd, for what parts and buckets send one another: most of it is text.
+LEVEL = 5
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+#: Stands for the type of whole numbers of 64 bits that are sent in 32.
+_NARROW = -1
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
-    head = np.array([x for a in arrays for x in (a.dtype.num, a.size)], "<i8").tobytes()
-    body = b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
-    whole = np.array([len(arrays), len(body)], "<i8").tobytes() + head
-    return whole + pa.compress(body, codec="zstd", asbytes=True)
+    head, body = [], []
+    for a in arrays:
+        narrow = a.dtype == np.int64 and a.size > 0 and a.min() >= 0 and a.max() < 1 << 32
+        head += [_NARROW if narrow else a.dtype.num, a.size]
+        body.append(np.ascontiguousarray(a, np.uint32 if narrow else a.dtype).tobytes())
+    data = b"".join(body)
+    whole = np.array([len(arrays), len(data), *head], "<i8").tobytes()
+    return whole + pa.Codec("zstd", compression_level=LEVEL).compress(data, asbytes=True)
 
 
 def _unpack(data: bytes) -> list[np.ndarray]:
@@ -54,8 +64,9 @@ def _unpack(data: bytes) -> list[np.ndarray]:
     out, at = [], 0
     kinds = {np.dtype(k).num: np.dtype(k) for k in (np.uint8, np.uint16, np.uint32, np.uint64, np.int64)}
     for num, count in head.tolist():
-        kind = kinds[num]
-        out.append(np.frombuffer(body, kind, count, at))
+        kind = np.dtype(np.uint32) if num == _NARROW else kinds[num]
+        got = np.frombuffer(body, kind, count, at)
+        out.append(got.astype(np.int64) if num == _NARROW else got)
         at += kind.itemsize * count
     return out
 
@@ -366,6 +377,9 @@ def repeated_spans(docs: DataFrame, with_kept: bool = False, part_bytes: int = P
     texts = spark.table(name)
     anchors = texts.groupBy("part").applyInArrow(_send_anchors(buckets), "bucket int, part int, data binary")
     flags = anchors.groupBy("bucket").applyInArrow(_find_repeats(hot), "part int, bucket int, data binary")
+    flags = stored(flags, "anchor-flags")
+    del anchors
+    release(spark)
     message = "kind string, bucket int, part int, data binary"
     sent = stored(flags.groupBy("part").cogroup(texts.groupBy("part")).applyInArrow(_send_contexts(buckets), message), "contexts", compression="uncompressed")
     back = sent.where("kind = 'contexts'").groupBy("bucket").applyInArrow(_settle, message)
