@@ -3,8 +3,13 @@
 Base patterns give spans by kind. Beside them, long unbroken strings go through a battery of randomness tests: their
 encoding is inferred (hex, base32, alphanumeric or base64), and over its alphabet three statistics are taken:
 chi-squared of uniformity, the number of runs of the alphabet's halves, and lag-one serial correlation. Each string's
-p-value says how likely ordinary text of that length would look as uniform; runs or serial correlation unlike
-randomness veto it. Benjamini-Hochberg control then holds within each class of length and encoding, over all texts.
+p-value says how likely ordinary text of that length would look as random, by two tests of which the better counts,
+at half the level each: chi-squared as low as the string's, and a likelihood ratio. The latter holds symbols drawn
+evenly against a model of ordinary strings: letters of one case, digits and signs come in stretches, and letters by
+their shares in words. Ordinary strings of the model exceed a ratio of x with a probability of 1/x at most, whatever
+their length and style, so that strings of 20 symbols can be told as well. Runs or serial correlation unlike randomness veto
+both tests, chi-squared above an even draw's the ratio. Benjamini-Hochberg control then holds within each class of
+length and encoding, over all texts.
 
 How spans are found without positions from the engine: a mark that no text holds is put around the matches, the text
 is split at it, and the lengths of the parts add up to positions, in code points.
@@ -37,6 +42,17 @@ ENCODINGS = (
     ("base64", _UPPER + _LOWER + _DIGITS + "+/", r"^[A-Za-z0-9+/]+=*$", 3.2),
     ("base64url", _UPPER + _LOWER + _DIGITS + "-_", r"^[A-Za-z0-9_-]+=*$", 3.2),
 )
+#: Ordinary strings, by styles: how a symbol's kind (lower case, upper case, digit, sign) follows the kind before it.
+#: Rows are scaled to the kinds that an alphabet has; names and paths are one style, constants in upper case another.
+_STYLES = (
+    {"l": {"l": 0.84, "u": 0.06, "d": 0.04, "s": 0.06}, "u": {"l": 0.55, "u": 0.35, "d": 0.04, "s": 0.06},
+     "d": {"l": 0.06, "u": 0.06, "d": 0.78, "s": 0.10}, "s": {"l": 0.55, "u": 0.20, "d": 0.20, "s": 0.05}},
+    {"l": {"l": 0.60, "u": 0.20, "d": 0.10, "s": 0.10}, "u": {"l": 0.02, "u": 0.84, "d": 0.05, "s": 0.09},
+     "d": {"l": 0.02, "u": 0.12, "d": 0.74, "s": 0.12}, "s": {"l": 0.10, "u": 0.70, "d": 0.15, "s": 0.05}},
+)
+#: Shares of letters in Latin-script words, in percent, and how far they are trusted against even shares.
+_SHARES = dict(zip(_LOWER, (8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.2, 0.8, 4.0, 2.4, 6.7, 7.5, 1.9, 0.1, 6.0, 6.3, 9.1, 2.8, 1.0, 2.4, 0.2, 2.0, 0.1), strict=True))
+_TRUST = 0.7
 #: Level of false discoveries in each class; p-values under which runs or serial correlation veto; bins a unit of -log10 p.
 LEVEL, VETO, BINS = 0.001, 0.001, 10
 _CHUNK = 256
@@ -103,19 +119,57 @@ def _evidence(x: Column) -> Column:
     return _let(x, lambda z: F.when(z < -5, far(z)).otherwise(near(z)))
 
 
+def _kind(symbol: str) -> str:
+    return "l" if symbol in _LOWER else "u" if symbol in _UPPER else "d" if symbol in _DIGITS else "s"
+
+
+def ordinary(alphabet: str) -> tuple[dict[str, float], dict[str, float], list[dict[str, float]]]:
+    """Natural logs of the model of ordinary strings: each symbol's share within its kind, each kind's chance to come
+    first, and by style that of each pair of kinds. Alphabets of one case have the style of that case alone."""
+    kinds: dict[str, list[str]] = {}
+    for c in alphabet:
+        kinds.setdefault(_kind(c), []).append(c)
+    symbols = {}
+    for kind, own in kinds.items():
+        shares = [_SHARES[c.lower()] if kind in "lu" else 1.0 for c in own]
+        for c, x in zip(own, shares, strict=True):
+            symbols[c] = math.log(_TRUST * x / sum(shares) + (1 - _TRUST) / len(own))
+    first = {kind: math.log(len(own) / len(alphabet)) for kind, own in kinds.items()}
+    styles = [style for style, case in zip(_STYLES, "lu", strict=True) if case in kinds]
+    return symbols, first, [{a + b: math.log(style[a][b] / sum(style[a][k] for k in kinds)) for a in kinds for b in kinds} for style in styles]
+
+
+def _ratio(s: Column, n: Column, counts: Column, alphabet: str, even: Column) -> Column:
+    """log10 of the likelihood of s as symbols drawn from `even` ones over that as an ordinary string of the style it fits best."""
+    symbols, first, styles = ordinary(alphabet)
+    dot = lambda x, weights: _sum(F.zip_with(x, F.array(*map(F.lit, weights)), lambda a, b: a * b))
+
+    def pairs(k: Column) -> Column:  # of unlike kinds: they can't overlap; of like kinds: their runs' lengths, each less one
+        like = lambda p: n - F.length(F.regexp_replace(k, p[0] + "+", "_"))
+        unlike = lambda p: (n - F.length(F.replace(k, F.lit(p), F.lit("")))) / 2
+        return F.array(*[like(p) if p[0] == p[1] else unlike(p) for p in styles[0]])
+
+    def begin(k: Column) -> Column:
+        return sum((F.startswith(k, F.lit(kind)).cast("double") * x for kind, x in first.items()), F.lit(0.0))
+
+    kinds = F.translate(s, alphabet, "".join(map(_kind, alphabet)))
+    best = lambda x: F.greatest(*[dot(x, style.values()) for style in styles], F.lit(-math.inf))
+    follow = _let(kinds, lambda k: begin(k) + _let(pairs(k), best))
+    return (-n * F.log(even) - dot(counts, [symbols[c] for c in alphabet]) - follow) / math.log(10)
+
+
 def battery(value: Column) -> Column:
     """Struct of a string: encoding (its place in ENCODINGS, -1: ordinary text), n, chi2, runs_p, serial_p, evidence.
 
-    Strings without both a digit and a letter are ordinary, as are those of under 20 symbols; vetoed ones have evidence 0.
+    evidence is -log10 of the p-value. Strings without both a digit and a letter are ordinary, as are those of under 20 symbols; vetoed ones have evidence 0.
     """
 
     def tested(k: int, s: Column) -> Column:
         _, alphabet, _, extra = ENCODINGS[k]
         size = len(alphabet)
 
-        def of(x: Column) -> Column:  # s, n, the halves as a string of 0 and 1, and places in the alphabet
-            s, n, halves, place = x["s"], x["n"], x["h"], x["r"]
-            counts = F.transform(F.split(F.lit(alphabet), ""), lambda c: (n - F.length(F.replace(s, c, F.lit("")))).cast("double"))
+        def of(x: Column) -> Column:  # s, n, the halves as a string of 0 and 1, places in the alphabet, and counts of its symbols
+            s, n, halves, place, counts = x["s"], x["n"], x["h"], x["r"], x["q"]
             chi2 = _sum(F.transform(counts, lambda c: c * c)) * size / n - n
             mean = _let(F.length(F.replace(halves, F.lit("0"), F.lit(""))).cast("double"), lambda ones: 2 * ones * (n - ones) / n + 1)
             spread = lambda m: F.sqrt(F.greatest((m - 1) * (m - 2) / (n - 1), F.lit(1e-9)))
@@ -125,13 +179,22 @@ def battery(value: Column) -> Column:
             serial = _let(_let(_sum(place) / n, lambda m: F.transform(place, lambda y: y - m)), lambda d: pairs(d) / squares(d))
             serial_p = 2 * _normal(-F.abs((serial + 1 / n) * F.sqrt(n)))
             z = lambda c: (c - (size - 1 + n * extra)) / F.sqrt(2 * (size - 1 + 2 * n * extra))
-            return _let(F.struct(chi2.alias("c"), runs.alias("r"), serial_p.alias("p")), lambda y: F.struct(
+            # an even draw has the whole alphabet or, where that has two cases, one of them: three draws of which any may be it
+            one_case = size - len(_LOWER)
+            even = F.when(s.rlike("[a-z]") & s.rlike("[A-Z]"), F.lit(float(size))).otherwise(float(one_case)) if size > 36 else F.lit(float(size))
+            draws = math.log10(3) if size > 36 else 0.0
+            spare = lambda e: 2 / (9 * (e - 1))
+            uneven = lambda c, e: (F.cbrt(((c + n) * e / size - n) / (e - 1)) - 1 + spare(e)) / F.sqrt(spare(e))  # noqa: E731  Wilson and Hilferty's normal for chi-squared
+            ratio = lambda c, e: F.when(_normal(-uneven(c, e)) >= VETO, _ratio(s, n, counts, alphabet, e) - draws).otherwise(0.0)
+            better = lambda c, e: F.greatest(_evidence(z(c)), ratio(c, e)) - math.log10(2)
+            return _let(F.struct(chi2.alias("c"), runs.alias("r"), serial_p.alias("p"), even.alias("e")), lambda y: F.struct(
                 F.lit(k).alias("encoding"), n.cast("int").alias("n"), y["c"].alias("chi2"), y["r"].alias("runs_p"), y["p"].alias("serial_p"),
-                F.when((y["r"] >= VETO) & (y["p"] >= VETO), _evidence(z(y["c"]))).otherwise(0.0).alias("evidence")))
+                F.when((y["r"] >= VETO) & (y["p"] >= VETO), F.greatest(better(y["c"], y["e"]), F.lit(0.0))).otherwise(0.0).alias("evidence")))
 
         half = F.translate(s, alphabet, "0" * (size // 2) + "1" * (size - size // 2))
         place = F.transform(F.split(s, ""), lambda c: F.instr(F.lit(alphabet), c).cast("double"))
-        return _let(F.struct(s.alias("s"), F.length(s).cast("double").alias("n"), half.alias("h"), place.alias("r")), of)
+        counts = F.transform(F.array(*[F.lit(c) for c in alphabet]), lambda c: (F.length(s) - F.length(F.replace(s, c, F.lit("")))).cast("double"))
+        return _let(F.struct(s.alias("s"), F.length(s).cast("double").alias("n"), half.alias("h"), place.alias("r"), counts.alias("q")), of)
 
     body = F.regexp_replace(value, "=+$", "")
     plain = F.struct(F.lit(-1).alias("encoding"), F.length(body).alias("n"), F.lit(0.0).alias("chi2"), F.lit(1.0).alias("runs_p"), F.lit(1.0).alias("serial_p"), F.lit(0.0).alias("evidence"))

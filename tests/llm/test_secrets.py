@@ -1,6 +1,9 @@
+import math
 import random
 import string
 
+from pyspark.sql import functions as F
+
 from quillon.llm import secrets
 from tests.llm import brute, data
 
@@ -42,3 +45,47 @@ def test_op6_redacts(spark):
     assert got[4].text == "[redacted], [redacted]"
     assert secrets.redacted(data.frame(spark, [])).count() == 0
     assert secrets.redacted(data.frame(spark, rows)).columns == data.frame(spark, rows).columns
+
+
+def test_op6_finds_short_keys_of_every_encoding(spark):
+    rng = random.Random(6)
+    upper, digits = string.ascii_uppercase, string.digits
+    keys = {("hex", 32): digits + "ABCDEF", ("hex", 40): digits + "ABCDEF", ("hex", 64): digits + "ABCDEF", ("base32", 32): upper + "234567", ("alnum", 20): string.ascii_letters + digits, ("alnum", 24): string.ascii_letters + digits}
+    planted = {(name, n): ["".join(rng.choices(a, k=n)) for _ in range(40)] for (name, n), a in keys.items()}
+    number = lambda: "".join(rng.choices(digits, k=rng.randint(4, 9)))
+    plain = {
+        "hex": (["DEAD", "BEEF", "FACADE", "CAFE", "ADD", "BAD"], number),
+        "base32": (["RELEASE", "PACKAGE", "VERSION", "CANDIDATE", "SERVER"], lambda: rng.choice("234567")),
+        "alnum": (["Package", "version", "Names", "With", "release", "Http"], lambda: rng.choice(digits)),
+    }
+    rows, ordinary = [], []
+    for (name, n), strings in planted.items():
+        rows += strings
+        words, more = plain[name]
+        for _ in range(3 * len(strings)):
+            text = ""
+            while len(text) < n:
+                text += rng.choice(words) + rng.choice([more(), ""])
+            ordinary.append(text[: n - 1] + "2")
+    got = check(spark, list(enumerate(["key " + s + " end" for s in rows + ordinary])))
+    found = ["random:" in got[i].spans for i in range(len(got))]
+    for k, (name, n) in enumerate(planted):
+        assert sum(found[40 * k : 40 * k + 40]) >= 22, (name, n)
+    assert sum(found[len(rows) :]) <= len(ordinary) // 100
+
+
+def test_op6_ratio_matches_plain_version(spark):
+    rng = random.Random(9)
+    for name, alphabet, _, _ in secrets.ENCODINGS:
+        symbols, first, styles = secrets.ordinary(alphabet)
+        assert abs(sum(math.exp(symbols[c] + first[secrets._kind(c)]) for c in alphabet) - 1) < 1e-9
+        assert all(abs(sum(math.exp(style[a + b]) for b in first) - 1) < 1e-9 for style in styles for a in first)
+        texts = ["".join(rng.choices(alphabet, k=rng.randint(20, 70))) for _ in range(30)] + ["".join(rng.choices(alphabet[:3], k=25)) for _ in range(5)]
+        s, n = F.col("s"), F.length("s").cast("double")
+        counts = F.array(*[(n - F.length(F.replace(s, F.lit(c), F.lit("")))) for c in alphabet])
+        frame = spark.createDataFrame([(t,) for t in texts], "s string")
+        for r in frame.select("s", secrets._ratio(s, n, counts, alphabet, F.lit(16.0)).alias("x")).collect():
+            kinds = [secrets._kind(c) for c in r.s]
+            best = max(sum(style[a + b] for a, b in zip(kinds, kinds[1:], strict=False)) for style in styles)
+            want = -len(r.s) * math.log(16) - sum(symbols[c] for c in r.s) - first[kinds[0]] - best
+            assert abs(r.x - want / math.log(10)) < 1e-6, (name, r.s)
