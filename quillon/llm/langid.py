@@ -134,11 +134,13 @@ def predict(docs: DataFrame, langs: list[str], model: np.ndarray, keep: tuple[st
     return found.select(*keep, "_mix.lang_pred", "_mix.score", "_mix.shares")
 
 
-def accepted(docs: DataFrame, least: float = 0.5, rows: int = ROWS) -> DataFrame:
-    """docs without those whose language can't be told: `und`, or no language with a share of `least`. Learns from
-    text and lang of docs themselves; all columns stay."""
+def accepted(docs: DataFrame, rows: int = ROWS) -> DataFrame:
+    """docs without those whose language can't be told (`und`); mixtures stay, however their languages are shared, and
+    where no language could be learned, all docs. Learns from text and lang of docs themselves; all columns stay."""
     langs, model = fit(docs, rows=rows)
+    if not langs:
+        return docs
     names = docs.columns
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("text").alias("text"))
     found = predict(whole, langs, model, keep=("_row",))
-    return found.where((F.col("lang_pred") != UND) & (F.col("score") >= least)).select("_row.*")
+    return found.where(F.col("lang_pred") != UND).select("_row.*")
