@@ -60,13 +60,16 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.cuts - z, -30, 30)))
 
 
-def train(model: Model, rows: list[tuple[dict[int, float], int]], steps: int = 800, rate: float = 0.05, decay: float = 1e-3) -> Model:
-    """Maximum likelihood of the cumulative-link model by Adam; cuts stay in order as sums of exponentials."""
+def train(model: Model, rows: list[tuple[dict[int, float], int]], steps: int = 800, rate: float = 0.05, decay: float = 1e-3, weights: tuple[float, float] = (1.0, 1.0)) -> Model:
+    """Maximum likelihood of the cumulative-link model by Adam; cuts stay in order as sums of exponentials. weights:
+    how many rows a clean and a toxic one stand for, so that the base rate is that of all rows, not of the sample."""
     size = 2 * len(model.words) + 1
     r = np.array([k for k, (x, _) in enumerate(rows) for _ in x], np.int64)
     c = np.array([i for x, _ in rows for i in x], np.int64)
     v = np.array([a for x, _ in rows for a in x.values()], np.float64)
     y = np.array([g for _, g in rows])
+    each = np.where(y > 0, weights[1], weights[0])
+    each = each / each.sum()
     k = GRADES - 1
     w, free = np.zeros(size), np.concatenate([[1.0], np.zeros(k - 1)])
     m, s = np.zeros(size + k), np.zeros(size + k)
@@ -78,10 +81,10 @@ def train(model: Model, rows: list[tuple[dict[int, float], int]], steps: int = 8
         d = up * (1 - up)
         at = np.arange(len(y))
         mass = np.maximum(up[at, y] - up[at, y + 1], 1e-9)
-        gz = -(d[at, y] - d[at, y + 1]) / mass / len(y)
+        gz = -(d[at, y] - d[at, y + 1]) / mass * each
         gc = np.zeros(k)
         for j in range(k):
-            gc[j] = ((y == j + 1) * d[at, y] / mass - (y == j) * d[at, y + 1] / mass).sum() / len(y)
+            gc[j] = (((y == j + 1) * d[at, y] / mass - (y == j) * d[at, y + 1] / mass) * each).sum()
         tail = np.cumsum(gc[::-1])[::-1]
         g = np.concatenate([np.bincount(c, gz[r] * v, size) + decay * w, [tail[0]], tail[1:] * np.exp(free[1:])])
         m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
@@ -122,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model | None:
     share = 2 * len(words)
     cuts = np.quantile([r["x"].get(share, 0.0) for r in got if r["toxic"]], [1 / 3, 2 / 3])
     graded = [(r["x"], 1 + int(np.searchsorted(cuts, r["x"].get(share, 0.0))) if r["toxic"] else 0) for r in got]
-    return train(model, graded)
+    return train(model, graded, weights=(max(1.0, sizes[0] / rows), max(1.0, sizes[1] / rows)))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataFrame:
