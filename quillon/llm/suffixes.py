@@ -1,20 +1,24 @@
 """Exact removal of byte strings that repeat across documents, by merging Burrows-Wheeler transforms of shards.
 
-Documents are dealt to parts of bounded size. Each window of `size` bytes belongs to the smallest hash among its
-26-byte strings, its anchor, so equal windows of any documents have equal anchors. Three passes:
+Documents lie in parts of bounded size, in the order in which they are read. Each window of `size` bytes belongs to
+the smallest hash among its 26-byte strings, its anchor, so equal windows of any documents have equal anchors:
 
 1. Each part sends its distinct anchors, by ranges of the hash; those met in two documents or more are sent back.
 2. Each part sends the contexts of such anchors (the bytes of consecutive windows that share one), equal contexts once
-   with their smallest doc_id. Contexts of one anchor meet in one bucket, where each part's are a shard.
-3. A bucket keeps equal contexts once. Anchors with several different contexts go on to the merge: the shards' suffixes
-   are interleaved, and the interleave is refined from depth d to d + 2 by a stable deal on the transform's symbols,
-   the two bytes before each suffix. Where neighbours differ in symbol or differed before, a block of common prefixes
-   ends; after depth `size`, each block is one repeated string, with the smallest doc_id of its suffixes. Suffixes
-   that no window's refinement needs at a depth aren't carried there.
+   with their smallest doc_id. Contexts of one anchor meet in one bucket, where equal ones are kept once more.
+3. A bucket deals its contexts to shards. A shard sorts its suffixes once, which gives its transform: by depth, the two
+   bytes before each suffix, in the shard's order. The shards' transforms are merged by refining their interleave: at
+   first the shards stand one after another; from depth d to d + 2 the interleave is dealt, stably, by the symbols that
+   it reads off the transforms. No suffix of a shard is moved or compared again. Where neighbours differ in symbol or
+   differed before, a block of common prefixes ends; after depth `size`, each block is one repeated string, with the
+   smallest doc_id of its suffixes. Only suffixes that a window's refinement needs at a depth are carried there.
 
 The smallest doc_id of every window goes back to the part, which removes windows whose smallest is under their own
 document's. Anchors met in many parts are split: their windows are dealt one by one, by their own hash, so no bucket
 holds all contexts of a passage that a large share of documents has.
+
+The texts are moved once, to a bucketed table that every pass reads in place. Contexts are never written beside their
+shuffle: the last pass finds the windows of its part anew.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +41,10 @@ SPAN = SIZE - GRAM + 1
 WIDTH = SIZE + SPAN - 1
 #: Bytes of text in a part, and of text for each bucket of anchors, about; parts an anchor may be in before it is split.
 PART, BUCKET, HOT = 8 << 20, 16 << 20, 1000
+#: Files' numbers in the table of parts at most (the engine takes 100,000); beyond, a number holds several parts.
+FILES = 50_000
+#: Contexts in a shard, about, and shards of a bucket at most.
+SHARD, SHARDS = 1 << 15, 200
 #: Of zstd, for what parts and buckets send one another: most of it is text.
 LEVEL = 5
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -71,17 +80,54 @@ def _unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
+_PARTS = "part long, docs array<long>, sizes binary, text binary"
+
+
+def _deal(part_bytes: int):
+    """Documents, in the order in which a task reads them, to parts: a row a part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        docs: list[int | None] = []
+        texts: list[bytes] = []
+        size = 0
+
+        def row() -> pa.RecordBatch:
+            sizes = np.array([len(t) for t in texts], "<i8").tobytes()
+            cells = ([number], [docs], [sizes], [b"".join(texts)])
+            types = (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, types, strict=True)], ["part", "docs", "sizes", "text"])
+
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                docs.append(doc)
+                texts.append(text or b"")
+                size += len(texts[-1])
+                if size >= part_bytes:
+                    yield row()
+                    number, docs, texts, size = number + 1, [], [], 0
+        if docs:
+            yield row()
+
+    return run
+
+
 class Part:
     """The texts of a part as one run of bytes."""
 
-    def __init__(self, group: pa.Table):
-        group = group.sort_by("rid")
-        self.docs = group.column("doc_id").to_pylist()
-        self.texts = [(t or "").encode("utf-8") for t in group.column("text").to_pylist()]
-        self.ends = np.cumsum([len(t) for t in self.texts]).astype(np.int64)
-        self.starts = self.ends - np.array([len(t) for t in self.texts], np.int64)
-        self.blob = np.frombuffer(b"".join(self.texts) + bytes(128), np.uint8)
-        self.owner = np.array([0 if d is None else d for d in self.docs], np.int64)
+    def __init__(self, number: int, docs: list[int | None], sizes: bytes, text: bytes):
+        self.number, self.docs = number, docs
+        size = np.frombuffer(sizes, "<i8")
+        self.ends = np.cumsum(size)
+        self.starts = self.ends - size
+        self.blob = np.frombuffer(text + bytes(128), np.uint8)
+        self.owner = np.array([0 if d is None else d for d in docs], np.int64)
+
+    @classmethod
+    def of(cls, group: pa.Table | pa.RecordBatch) -> Part:
+        return cls(*(group.column(k)[0].as_py() for k in ("part", "docs", "sizes", "text")))
 
     def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of each run of windows that share an anchor (of at most SPAN): its hash, first start, windows and row.
@@ -147,19 +193,30 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
+def _short(h: np.ndarray, k: int, buckets: int) -> np.ndarray:
+    """32 bits of where hashes are in bucket k, in order: equal ones stay equal, the rest is decided by bytes."""
+    return ((h - np.uint64((k << 64) // buckets)) // np.uint64((1 << 32) // buckets + 2)).astype("<u4")
+
+
+def _slices(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Each bucket that occurs with where it does; bucket is in order."""
+    which, at = np.unique(bucket, return_index=True)
+    ends = np.concatenate([at, [len(bucket)]])[1:]
+    for k, a, b in zip(which.tolist(), at.tolist(), ends[: len(at)].tolist(), strict=True):
+        yield k, slice(a, b)
+
+
 def _send_anchors(buckets: int):
-    def run(group: pa.Table) -> pa.Table:
-        part = group.column("part")[0].as_py()
-        h = np.unique(Part(group).runs()[0])
-        cuts = np.searchsorted(_bucket(h, buckets), np.arange(buckets + 1))
-        cells = []
-        for k in range(buckets):
-            x = h[cuts[k] : cuts[k + 1]]
-            if len(x):  # 32 bits of where it is in the bucket: equal ones stay equal, the rest is decided by bytes
-                low = np.uint64((k << 64) // buckets)
-                cells.append((k, part, ((x - low) // np.uint64(max(1, (1 << 32) // buckets + 1))).astype("<u4").tobytes()))
-        cols = zip(*cells, strict=True) if cells else ([], [], [])
-        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["bucket", "part", "data"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                part = Part.of(batch.slice(i, 1))
+                h = np.unique(part.runs()[0])
+                cells = []
+                for k, cut in _slices(_bucket(h, buckets)):
+                    cells.append((k, part.number, _short(h[cut], k, buckets).tobytes()))
+                cols = zip(*cells, strict=True) if cells else ([], [], [])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["bucket", "part", "data"])
 
     return run
 
@@ -176,7 +233,7 @@ def _find_repeats(hot: int):
             return of[at] == x if len(of) else np.zeros(len(x), bool)
 
         data = [_pack(np.packbits(member(x, twice)), np.packbits(member(x, often)), np.array([len(x)], np.int64)) for x in lists]
-        return pa.table([pa.array(parts, pa.int32()), group.column("bucket"), pa.array(data, pa.binary())], ["part", "bucket", "data"])
+        return pa.table([pa.array(parts, pa.int64()), group.column("bucket"), pa.array(data, pa.binary())], ["part", "bucket", "data"])
 
     return run
 
@@ -202,17 +259,14 @@ def _least(which: np.ndarray, docs: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _send_contexts(buckets: int):
-    def run(flags: pa.Table, group: pa.Table) -> pa.Table:
-        names, types = ["kind", "bucket", "part", "data"], (pa.string(), pa.int32(), pa.int32(), pa.binary())
-        if not group.num_rows:
-            return pa.table([pa.array([], t) for t in types], names)
-        number = group.column("part")[0].as_py()
-        part = Part(group)
+class Windows:
+    """The runs of windows in a part whose anchors repeat, and their distinct contexts in order of anchor."""
+
+    def __init__(self, part: Part, flags: list[list[np.ndarray]]):
+        """flags: what _find_repeats() sent, by bucket in order."""
         h, start, count, row = part.runs()
         known, which = np.unique(h, return_inverse=True)
-        got = [_unpack(d.as_py()) for d in flags.sort_by("bucket").column("data")]
-        bits = lambda i: np.concatenate([np.unpackbits(g[i], count=int(g[2][0])) for g in got]).astype(bool) if got else np.zeros(0, bool)
+        bits = lambda i: np.concatenate([np.unpackbits(g[i], count=int(g[2][0])) for g in flags]).astype(bool) if flags else np.zeros(0, bool)
         repeated, often = bits(0), bits(1)
         owner = part.owner[row]
         if len(known):
@@ -241,116 +295,163 @@ def _send_contexts(buckets: int):
             ctx[s] = part.blob[start[s, None] + np.arange(WIDTH)]
             ctx[s][np.arange(WIDTH)[None, :] >= (count[s] + SIZE - 1)[:, None]] = 0
         first, which = _distinct(ctx, count, h)
-        order = np.argsort(h[first], kind="stable")  # contexts by bucket
+        order = np.argsort(h[first], kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        first, which = first[order], place[which]
-        least = _least(which, part.owner[row], len(first))
-        cuts = np.searchsorted(_bucket(h[first], buckets), np.arange(buckets + 1))
-        cells = [("runs", -1, number, _pack(start.astype(np.int64), count.astype(np.uint8), row.astype(np.uint32), which.astype(np.uint32)))]
-        for k in range(buckets):
-            f = first[cuts[k] : cuts[k + 1]]
-            if len(f):
-                cells.append(("contexts", k, number, _pack(h[f], least[cuts[k] : cuts[k + 1]], count[f].astype(np.uint8), ctx[f].ravel())))
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*cells, strict=True), types, strict=True)], names)
+        #: of runs; of contexts, the run each is taken from; of runs, their contexts
+        self.start, self.count, self.owner = start, count, part.owner[row]
+        self.first, self.which = first[order], place[which]
+        self.h, self.ctx = h[self.first], ctx[self.first]
+
+
+_MESSAGE, _TYPES = ["kind", "bucket", "part", "data"], (pa.string(), pa.int32(), pa.int64(), pa.binary())
+
+
+def _flags_of(found: pa.Table) -> list[list[np.ndarray]]:
+    return [_unpack(d.as_py()) for d in found.sort_by("bucket").column("data")]
+
+
+def _send_contexts(buckets: int):
+    def run(flags: pa.Table, group: pa.Table) -> pa.Table:
+        cells = []
+        if group.num_rows:
+            part = Part.of(group)
+            w = Windows(part, _flags_of(flags))
+            least = _least(w.which, w.owner, len(w.first))
+            count = w.count[w.first].astype(np.uint8)
+            for k, cut in _slices(_bucket(w.h, buckets)):
+                cells.append(("contexts", k, part.number, _pack(w.h[cut], least[cut], count[cut], w.ctx[cut].ravel())))
+        cols = zip(*cells, strict=True) if cells else [[]] * 4
+        return pa.table([pa.array(c, t) for c, t in zip(cols, _TYPES, strict=True)], _MESSAGE)
 
     return run
 
 
-def merge(ctx: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave refinement over all shards' contexts (rows, in order of shard): the suffixes (row * SPAN + offset) in
-    order of their first `size` bytes, and where in that order blocks of equal ones begin."""
-    n = len(ctx)
-    pairs = ctx[:, :-1].astype(np.uint16) << np.uint16(8) | ctx[:, 1:]
-    # depth 0: any order, so that of the shards; suffixes at the offsets that `size` bytes on from a window start
-    order = np.arange(n * SPAN, dtype=np.int64)
-    block = np.zeros(n * SPAN, np.int64)
-    row, off = order // SPAN, order % SPAN
-    for depth in range(2, size + 1, 2):
-        symbol = pairs[row, off + size - depth]  # of the transform: what stands before each suffix
+class Transform:
+    """A shard's windows in order of their bytes, and its transform by depth: the two bytes before the suffixes that
+    windows need there, in order of the suffixes' bytes so far."""
+
+    def __init__(self, ctx: np.ndarray, count: np.ndarray):
+        """ctx: rows of SIZE + SPAN - 1 bytes, of which the first count + SIZE - 1 are the context."""
+        wide = ctx.shape[1] - 1
+        pairs = (ctx[:, :-1].astype(np.uint16) << np.uint16(8) | ctx[:, 1:]).ravel()
+        first = np.arange(len(ctx), dtype=np.int64) * wide
+        at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum()) + SIZE
+        if len(pairs) < 1 << 31:
+            at = at.astype(np.int32)
+        self.symbols: list[np.ndarray] = []
+        for _ in range(0, SIZE, 2):
+            at -= at.dtype.type(2)
+            symbol = pairs[at]
+            self.symbols.append(symbol)
+            at = at[np.argsort(symbol, kind="stable")]
+        self.row, self.off = np.divmod(at, wide)
+
+    def __len__(self) -> int:
+        return len(self.row)
+
+
+def merge(shards: list[Transform]) -> tuple[np.ndarray, np.ndarray]:
+    """(for each place in the order of all shards' windows, the shard that the next one comes from; where in that order
+    blocks of equal windows begin), by refining the interleave with the symbols of the shards' transforms."""
+    n = sum(map(len, shards))
+    z = np.repeat(np.arange(len(shards), dtype=np.uint8 if len(shards) <= 256 else np.int64), [len(s) for s in shards])
+    block = np.zeros(n, np.int32 if n < 1 << 31 else np.int64)
+    ends = np.zeros(n, bool)
+    for depth in range(SIZE // 2):
+        symbol = np.empty(n, np.uint16)
+        for k, shard in enumerate(shards):
+            symbol[z == k] = shard.symbols[depth]
         deal = np.argsort(symbol, kind="stable")
-        symbol, row, off, block = symbol[deal], row[deal], off[deal], block[deal]
-        ends = np.concatenate([[0], (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])])
-        block = np.cumsum(ends)
-    begin = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if n else np.empty(0, np.int64)
-    return row * SPAN + off, begin
+        symbol, z, block = symbol[deal], z[deal], block[deal]
+        ends[1:] = (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])
+        block = np.cumsum(ends, dtype=block.dtype)
+    begin = np.flatnonzero(np.concatenate([[True], ends[1:]])) if n else np.empty(0, np.int64)
+    return z, begin
+
+
+def least_of_windows(ctx: np.ndarray, count: np.ndarray, doc: np.ndarray, shard: int = SHARD) -> np.ndarray:
+    """For each window of each context (rows, and SPAN columns of which the first `count` mean something): the smallest
+    doc of all contexts that have it."""
+    each = max(shard, -(-len(ctx) // SHARDS))
+    cuts = [slice(a, a + each) for a in range(0, len(ctx), each)]
+    shards = [Transform(ctx[c], count[c]) for c in cuts]
+    z, begin = merge(shards)
+    value = np.empty(len(z), np.int64)
+    for k, (s, c) in enumerate(zip(shards, cuts, strict=True)):
+        value[z == k] = doc[c][s.row]
+    out = np.repeat(doc[:, None], SPAN, 1)
+    if len(z):
+        value = np.repeat(np.minimum.reduceat(value, begin), np.diff(np.concatenate([begin, [len(z)]])))
+    for k, (s, c) in enumerate(zip(shards, cuts, strict=True)):
+        out[c][s.row, s.off] = value[z == k]
+    return out
 
 
 def _settle(group: pa.Table) -> pa.Table:
-    """Contexts of a bucket, a shard a row: the smallest doc_id of every window goes back to its part."""
+    """Contexts of a bucket, a part a row: the smallest doc_id of every window goes back to its part."""
     parts = group.column("part").to_pylist()
-    shards = [_unpack(d.as_py()) for d in group.column("data")]
-    key, doc, count = (np.concatenate([s[i] for s in shards]) for i in range(3))
-    ctx = np.concatenate([s[3].reshape(-1, WIDTH) for s in shards])
+    sent = [_unpack(d.as_py()) for d in group.column("data")]
+    key, doc, count = (np.concatenate([s[i] for s in sent]) for i in range(3))
+    ctx = np.concatenate([s[3].reshape(-1, WIDTH) for s in sent])
     first, which = _distinct(ctx, count, key)
-    least = _least(which, doc, len(first))
-    result = np.repeat(least[:, None], SPAN, 1)
-    _, anchor, many = np.unique(key[first], return_inverse=True, return_counts=True)
-    several = np.flatnonzero(many[anchor.ravel()] > 1)
-    if len(several):
-        own, n = ctx[first[several]], count[first[several]].astype(np.int64)
-        order, begin = merge(own)
-        row, off = order // SPAN, order % SPAN
-        there = off < n[row]  # what lies beyond a context's windows is padding
-        value = np.where(there, least[several][row], np.iinfo(np.int64).max)
-        lowest = np.minimum.reduceat(value, begin)
-        of = np.repeat(lowest, np.diff(np.concatenate([begin, [len(order)]])))
-        result[several[row[there]], off[there]] = of[there]
     size = count[first].astype(np.int64)
+    result = least_of_windows(ctx[first], size, _least(which, doc, len(first)))
     change = np.ones(result.shape, bool)
     change[:, 1:] = result[:, 1:] != result[:, :-1]
     change &= np.arange(SPAN)[None, :] < size[:, None]
     out, at = [], 0
-    for s in shards:
+    for s in sent:
         w = which[at : at + len(s[0])]
         at += len(s[0])
         c = change[w]
         r, o = np.nonzero(c)
         out.append(_pack(c.sum(1).astype(np.uint8), o.astype(np.uint8), result[w][r, o]))
-    return pa.table([pa.array(["least"] * len(parts)), group.column("bucket"), pa.array(parts, pa.int32()), pa.array(out, pa.binary())], ["kind", "bucket", "part", "data"])
+    return pa.table([pa.array(["least"] * len(parts)), group.column("bucket"), pa.array(parts, pa.int64()), pa.array(out, pa.binary())], _MESSAGE)
 
 
 _OUT = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, kept binary"
 
 
+def _covered(part: Part, flags: list[list[np.ndarray]], back: list[list[np.ndarray]]) -> np.ndarray:
+    """Which bytes of a part are removed. back: what _settle() sent, by bucket in order, as the contexts are."""
+    step = np.zeros(len(part.blob) + SIZE + SPAN, np.int32)
+    if back:
+        w = Windows(part, flags)
+        changes, offset, least = (np.concatenate([b[i] for b in back]) for i in range(3))
+        changes = changes.astype(np.int64)
+        base = np.cumsum(changes) - changes
+        each = changes[w.which]
+        run = np.repeat(np.arange(len(w.start)), each)
+        at = np.repeat(base[w.which] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+        a = offset[at].astype(np.int64)
+        last = np.concatenate([run[1:] != run[:-1], [True]])
+        b = np.where(last, w.count[run].astype(np.int64), np.concatenate([a[1:], [0]]))
+        gone = least[at] < w.owner[run]
+        s = w.start[run][gone]
+        np.add.at(step, s + a[gone], 1)
+        np.add.at(step, s + b[gone] + SIZE - 1, -1)
+    return np.cumsum(step)[: len(part.blob)] > 0
+
+
 def _cut_out(with_kept: bool):
     def run(found: pa.Table, group: pa.Table) -> pa.Table:
         span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
         types = (pa.int64(), pa.int64(), pa.int64(), span, pa.binary(), pa.string())
         names = ["doc_id", "n_bytes", "n_removed", "spans", "kept", "kept_sha256"]
-        part = Part(group) if group.num_rows else None
-        mask = np.zeros(0, bool)
-        if part is not None:
-            found = found.sort_by("bucket")
-            kind, data = found.column("kind").to_pylist(), found.column("data")
-            own = [_unpack(data[i].as_py()) for i, k in enumerate(kind) if k == "runs"]
-            back = [_unpack(data[i].as_py()) for i, k in enumerate(kind) if k == "least"]
-            step = np.zeros(len(part.blob) + SIZE + SPAN, np.int32)
-            if back:
-                start, count, row, which = own[0]
-                changes, offset, least = (np.concatenate([b[i] for b in back]) for i in range(3))
-                changes = changes.astype(np.int64)
-                base = np.cumsum(changes) - changes
-                each = changes[which]
-                run_ = np.repeat(np.arange(len(start)), each)
-                at = np.repeat(base[which] - (np.cumsum(each) - each), each) + np.arange(each.sum())
-                a = offset[at].astype(np.int64)
-                last = np.concatenate([run_[1:] != run_[:-1], [True]])
-                b = np.where(last, count[run_].astype(np.int64), np.concatenate([a[1:], [0]]))
-                gone = least[at] < part.owner[row[run_]]
-                s = start[run_][gone]
-                np.add.at(step, s + a[gone], 1)
-                np.add.at(step, s + b[gone] + SIZE - 1, -1)
-            mask = np.cumsum(step)[: len(part.blob)] > 0
         cols: list[list] = [[] for _ in types]
-        for i in range(group.num_rows):
-            a, b = int(part.starts[i]), int(part.ends[i])
-            m = mask[a:b]
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], m.view(np.int8), [0]])))
-            kept = part.texts[i] if not len(edge) else part.blob[a:b][~m].tobytes()
-            spans = [{"start": x, "stop": y} for x, y in edge.reshape(-1, 2).tolist()]
-            for c, x in zip(cols, (part.docs[i], b - a, int(m.sum()), spans, kept if with_kept else None, hashlib.sha256(kept).hexdigest()), strict=True):
-                c.append(x)
+        if group.num_rows:
+            part = Part.of(group)
+            flags, least = (found.filter(pa.compute.equal(found.column("kind"), k)) for k in ("flags", "least"))
+            mask = _covered(part, _flags_of(flags), _flags_of(least))
+            for i, doc in enumerate(part.docs):
+                a, b = int(part.starts[i]), int(part.ends[i])
+                text, m = part.blob[a:b], mask[a:b]
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], m.view(np.int8), [0]])))
+                kept = (text[~m] if len(edge) else text).tobytes()
+                spans = [{"start": x, "stop": y} for x, y in edge.reshape(-1, 2).tolist()]
+                for c, x in zip(cols, (doc, b - a, int(m.sum()), spans, kept if with_kept else None, hashlib.sha256(kept).hexdigest()), strict=True):
+                    c.append(x)
         return pa.table([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
     return run
@@ -368,22 +469,21 @@ def repeated_spans(docs: DataFrame, with_kept: bool = False, part_bytes: int = P
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts, buckets = int(total // part_bytes) + 1, int(total // bucket_bytes) + 1
+    files = min(FILES, max(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     name = f"quillon_parts_{uuid.uuid4().hex}"
-    rows = rows.withColumn("rid", F.monotonically_increasing_id()).withColumn("part", F.pmod(F.xxhash64("doc_id", "text", "rid"), F.lit(parts)).cast("int"))
-    # bucketed, so that no later pass moves the texts again
-    rows.repartition(parts, "part").write.bucketBy(parts, "part").option("path", fresh_path(spark, "parts")).option("compression", "zstd").saveAsTable(name)
-    del rows
-    release(spark)
+    # bucketed, so that no pass moves the texts
+    dealt = rows.mapInArrow(_deal(part_bytes), _PARTS)
+    dealt.write.bucketBy(files, "part").option("path", fresh_path(spark, "parts")).option("compression", "zstd").saveAsTable(name)
     texts = spark.table(name)
-    anchors = texts.groupBy("part").applyInArrow(_send_anchors(buckets), "bucket int, part int, data binary")
-    flags = anchors.groupBy("bucket").applyInArrow(_find_repeats(hot), "part int, bucket int, data binary")
-    flags = stored(flags, "anchor-flags")
+    spark.sql(f"drop table {name}")  # its name only: the plan has the files
+    anchors = texts.mapInArrow(_send_anchors(buckets), "bucket int, part long, data binary")
+    flags = stored(anchors.groupBy("bucket").applyInArrow(_find_repeats(hot), "part long, bucket int, data binary"), "anchor-flags")
     del anchors
     release(spark)
-    message = "kind string, bucket int, part int, data binary"
-    sent = stored(flags.groupBy("part").cogroup(texts.groupBy("part")).applyInArrow(_send_contexts(buckets), message), "contexts", compression="uncompressed")
-    back = sent.where("kind = 'contexts'").groupBy("bucket").applyInArrow(_settle, message)
-    found = back.unionByName(sent.where("kind = 'runs'"))
+    message = "kind string, bucket int, part long, data binary"
+    sent = flags.groupBy("part").cogroup(texts.groupBy("part")).applyInArrow(_send_contexts(buckets), message)
+    back = sent.groupBy("bucket").applyInArrow(_settle, message)
+    found = back.unionByName(flags.withColumn("kind", F.lit("flags")))
     return found.groupBy("part").cogroup(texts.groupBy("part")).applyInArrow(_cut_out(with_kept), _OUT + ", kept_sha256 string")
 
 

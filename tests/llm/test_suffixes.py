@@ -51,12 +51,51 @@ def test_op3_nulls_and_ties(spark):
     assert suffixes.repeated_spans(data.frame(spark, [])).count() == 0
 
 
-def test_merge_orders_and_blocks():
+def test_merge_of_transforms_orders_and_blocks():
     rng = np.random.default_rng(2)
     ctx = rng.integers(97, 99, (30, suffixes.WIDTH)).astype(np.uint8)
     ctx[5:25] = ctx[4]
     ctx[20:, 60:] = 0
-    order, begin = suffixes.merge(ctx)
-    windows = [bytes(ctx[o // suffixes.SPAN, o % suffixes.SPAN :][: suffixes.SIZE]) for o in order]
-    assert windows == sorted(windows)
-    assert begin.tolist() == [i for i, w in enumerate(windows) if i == 0 or w != windows[i - 1]]
+    count = np.array([1 + i % suffixes.SPAN for i in range(20)] + [11] * 10)
+    cuts = [slice(0, 8), slice(8, 9), slice(9, 27), slice(27, 30)]
+    shards = [suffixes.Transform(ctx[c], count[c]) for c in cuts]
+    window = lambda row, off: bytes(ctx[row, off : off + suffixes.SIZE])
+    for s, c in zip(shards, cuts, strict=True):
+        own = [window(c.start + r, o) for r, o in zip(s.row, s.off, strict=True)]
+        assert own == sorted(own) and len(own) == count[c].sum()
+        assert all(len(x) == len(s) for x in s.symbols)
+    z, begin = suffixes.merge(shards)
+    at, order = [0] * len(shards), []
+    for k in z.tolist():
+        order.append(window(cuts[k].start + shards[k].row[at[k]], shards[k].off[at[k]]))
+        at[k] += 1
+    assert order == sorted(order) and len(order) == count.sum()
+    assert begin.tolist() == [i for i, w in enumerate(order) if i == 0 or w != order[i - 1]]
+    doc = rng.permutation(30).astype(np.int64)
+    for size in (4, 100):
+        least = suffixes.least_of_windows(ctx, count, doc, shard=size)
+        every = {}
+        for r in range(30):
+            for o in range(count[r]):
+                every[window(r, o)] = min(every.get(window(r, o), 99), doc[r])
+        assert all(least[r, o] == every[window(r, o)] for r in range(30) for o in range(count[r]))
+
+
+def test_op3_more_parts_than_files_and_buckets(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "FILES", 3)
+    monkeypatch.setattr(suffixes, "SHARDS", 2)
+    check(spark, data.rows(), part_bytes=300, bucket_bytes=10)
+
+
+def test_numbers_of_parts_and_buckets_at_scale():
+    h = np.sort(np.random.default_rng(3).integers(0, 2**64, 1000, dtype=np.uint64))
+    buckets = 12_000_000
+    got = list(suffixes._slices(suffixes._bucket(h, buckets)))
+    assert len(got) <= 1000 and sum(s.stop - s.start for _, s in got) == 1000
+    assert all(0 <= k < buckets for k, _ in got)
+    assert all((np.diff(suffixes._short(h[s], k, buckets).astype(np.int64)) >= 0).all() for k, s in got)
+    for k in (0, 1, buckets // 3, buckets - 1):  # the last hash of a bucket
+        low, high = -(-(k << 32) // buckets) << 32, (-(-((k + 1) << 32) // buckets) << 32) - 1
+        at = np.array([low, high], np.uint64)
+        assert suffixes._bucket(at, buckets).tolist() == [k, k]
+        assert (high - (k << 64) // buckets) // ((1 << 32) // buckets + 2) < 1 << 32
