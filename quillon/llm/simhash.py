@@ -18,15 +18,15 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.components import components
-from quillon.session import ship, stored
+from quillon.session import discard, ship, stored, unused
 
 #: Rows that may meet under one key in one task; beyond, they are dealt out again.
 HOT = 4096
-#: Ids of removed documents up to which they are broadcast, 8 bytes each.
+#: Removed rows up to which their ids and hashes are broadcast, 16 bytes each.
 BROADCAST = 1_000_000
 
 
@@ -55,7 +55,7 @@ def _fingerprints(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(got)], ["doc_id", "tie", "fp"])
 
     return run
 
@@ -176,43 +176,68 @@ def _dealt(keys: DataFrame, hot: int) -> DataFrame:
     return cool.unionByName(warm.select("key", "fp", "own", (F.col("sub") + F.col("pair") * 2048).alias("sub")))
 
 
-def near_duplicates(docs: DataFrame, most: int = 3, words: int = 3, hot: int = HOT) -> DataFrame:
-    """doc_id, fp (long, the fingerprint's bits), component_id: the smallest doc_id reachable by links of at most
-    `most` (3 at most) differing bits, itself included.
-
-    Null, empty and blank texts have fingerprint 0 and link like any other; repeated rows stay rows; rows with a null
-    doc_id link others but never name a component unless all are null; an empty table gives no rows. Columns other
-    than doc_id and text are not read.
-    """
+def _labelled(docs: DataFrame, most: int, words: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, tie and fp of each row, tie a hash of the text; of and label of each distinct fp: the smallest fp it
+    is linked with)."""
     if not 0 <= most <= 3:
         raise ValueError("the keys used here hold for 0 to 3 differing bits")
     ship(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prints = stored(rows.mapInArrow(_fingerprints(words), "doc_id long, fp long"), "fingerprints")
-    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    keys = distinct.select("fp").mapInArrow(_keys, "key long, fp long, own boolean")
-    dealt = _dealt(stored(keys, "keys"), hot).select("key", "sub", "fp", "own")
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tie"))
+    prints = stored(rows.mapInArrow(_fingerprints(words), "doc_id long, tie long, fp long"), "fingerprints")
+    distinct = stored(prints.select("fp").distinct(), "distinct-fingerprints")
+    keys = stored(distinct.mapInArrow(_keys, "key long, fp long, own boolean"), "keys")
+    dealt = _dealt(keys, hot).select("key", "sub", "fp", "own")
     met = dealt.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "sub").sortWithinPartitions("key", "sub")
     linked = components(met.mapInArrow(_stars(most), "a long, b long"))
-    named = distinct.join(linked, distinct.fp == linked.node, "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
+    discard(keys)
+    return prints, distinct.join(linked, distinct.fp == linked.node, "left").select(F.col("fp").alias("of"), F.coalesce("label", "fp").alias("label"))
+
+
+def near_duplicates(docs: DataFrame, most: int = 3, words: int = 3, hot: int = HOT) -> DataFrame:
+    """doc_id, fp (long, the fingerprint's bits), component_id: the smallest doc_id reachable by links of at most
+    `most` (3 at most) differing bits, itself included.
+
+    Null, empty and blank texts have fingerprint 0 and link like any other; texts of any length are read whole;
+    repeated rows stay rows; rows with a null doc_id link others but never name a component unless all are null; an
+    empty table gives no rows. Columns other than doc_id and text are not read.
+    """
+    prints, labels = _labelled(docs, most, words, hot)
+    first = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    named = first.join(labels, first.fp == labels["of"]).select("fp", "first", "label")
     heads = named.groupBy("label").agg(F.min("first").alias("component_id"))
     of = named.join(heads, "label").select(F.col("fp").alias("of_fp"), "component_id")
     return prints.join(of, prints.fp == F.col("of_fp")).select("doc_id", "fp", "component_id")
 
 
-def kept(docs: DataFrame, **options: int) -> DataFrame:
-    """docs without all but one document of each group: the one with the smallest doc_id (of rows that repeat it, all
-    but one too). Rows with a null doc_id stay where their group has no other, one of them."""
-    from pyspark.sql import Window
-
-    groups = near_duplicates(docs, **options)
-    head = F.max(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    gone = stored(groups.groupBy("doc_id").agg(head.alias("head")).where("not head").select(F.col("doc_id").alias("gone_id")), "near-copies")
-    # few enough ids go to all executors, so that the texts needn't move; else both sides are dealt by id
-    side = F.broadcast(gone) if gone.count() <= BROADCAST else gone
-    found = docs.join(side, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
-    again = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    if not again:
-        return found
-    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return found.withColumn("_turn", turn).where("_turn = 1").drop("_turn")
+def kept(docs: DataFrame, most: int = 3, words: int = 3, hot: int = HOT) -> DataFrame:
+    """docs without all but one row of each group of near duplicates; all columns stay, whatever their names.
+
+    The row that stays has the group's smallest doc_id (a null counts as larger than any) and, of texts that share that
+    id, the one with the smallest hash; of rows that repeat both, any one. Rows of one doc_id whose texts aren't near
+    duplicates are judged apart. Null, empty and blank texts are one group. An empty table stays empty.
+    """
+    prints, labels = _labelled(docs, most, words, hot)
+    ranked = prints.join(labels, prints.fp == labels["of"]).select("label", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie").alias("row"))
+    rows = stored(ranked.groupBy("label", "row").agg(F.count("*").alias("n")), "rows-of-groups")
+    discard(prints)
+    heads = rows.groupBy("label").agg(F.min("row").alias("head")).select(F.col("label").alias("of"), "head")
+    turned = stored(rows.join(heads, rows.label == heads["of"]).select("row.doc_id", "row.tie", F.col("row").eqNullSafe(F.col("head")).alias("first"), "n"), "turns")
+    discard(rows)
+    own, tie = unused(docs, "id", "tie")
+    keyed = docs.withColumn(own, F.col("doc_id").cast("long")).withColumn(tie, F.xxhash64(F.col("text").cast("string")))
+
+    def side(of: DataFrame) -> tuple[DataFrame, Column]:
+        """`of` for a join with keyed, by id and hash. Few enough go to all executors, so that the texts needn't move."""
+        id_, hash_ = unused(keyed, "of_id", "of_tie")
+        out = of.select(F.col("doc_id").alias(id_), F.col("tie").alias(hash_))
+        out = F.broadcast(out) if of.limit(BROADCAST + 1).count() <= BROADCAST else out
+        return out, F.col(own).eqNullSafe(F.col(id_)) & (F.col(tie) == F.col(hash_))
+
+    gone = turned.where("not first").select("doc_id", "tie")
+    found = keyed.join(*side(gone), "left_anti")
+    again = turned.where("first and n > 1").select("doc_id", "tie")
+    if again.limit(1).count():  # rows that repeat id and text: one of each, found with partial aggregates
+        single, repeated = found.join(*side(again), "left_anti"), found.join(*side(again), "left_semi")
+        found = single.unionByName(repeated.dropDuplicates([own, tie]))
+    return found.drop(own, tie)

@@ -38,12 +38,12 @@ def test_op8_matches_plain_version(spark):
     items += [(50, rows[3][1]), (51, rows[3][1]), (52, None), (53, "One two")]
     bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, doc_id string")
     want = {d: brute.contamination(t, items) for d, t in rows}
-    for shard in (2_000_000, 60):
+    for shard in (2_000_000, 200):
         got = decontam.digest(decontam.contamination(data.frame(spark, rows), bench, shard=shard)).collect()
         assert len(got) == len(rows)
         for r in got:
             assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == want[r.doc_id]
-    left = decontam.cleaned(data.frame(spark, rows), bench, shard=60)
+    left = decontam.cleaned(data.frame(spark, rows), bench, shard=200, held=1)
     assert sorted(r.doc_id for r in left.collect()) == sorted(d for d, w in want.items() if not w[4])
     assert left.columns == data.frame(spark, rows).columns
     none = decontam.contamination(data.frame(spark, rows), bench.limit(0)).collect()
@@ -135,3 +135,32 @@ def test_op7_grades_toxic_rows(spark):
     assert not any(got[d].toxic for d, _ in data.AWKWARD)
     assert all(r.severity == 0 for r in toxicity.toxicity(df, labels.limit(0)).collect())
     assert toxicity.toxicity(data.frame(spark, []), labels).count() == 0
+
+
+def test_op8_shared_windows_short_items_and_long_ones(spark):
+    rng = random.Random(21)
+    vocabulary = [f"w{i}" for i in range(12)]
+    draw = lambda n: " ".join(rng.choices(vocabulary, k=n))
+    items = [(f"i{k}", draw(n)) for k, n in enumerate([1, 2, 2, 3, 5, 12, 13, 14, 30, 30, 200, 400])]
+    items += [("i9", items[8][1]), ("twin", items[10][1]), (None, draw(20)), ("none", None), ("dots", "...")]
+    rows = [(i, draw(rng.randint(0, 80)) + " " + items[rng.randrange(4, 12)][1][rng.randint(0, 30) :] + " " + rng.choice(["other", ""])) for i in range(40)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    docs = spark.createDataFrame([(d, t, "x", 1) for d, t in rows] + [(None, rows[3][1], "y", 2), (7, rows[8][1], "z", 3)], "doc_id long, text string, _hash string, gone int")
+    named = [("" if i is None else i, t) for i, t in items]
+    for part in (named, [x for x in named if x[1] and len(x[1].split()) > 4]):
+        bench = spark.createDataFrame(part, "item_id string, text string")
+        want = sorted((r.doc_id or 0, *brute.contamination(r.text, part)) for r in docs.collect())
+        for shard, held in ((250_000, 4), (300, 1)) if len(part) == len(named) else ((250_000, 4),):
+            got = decontam.digest(decontam.contamination(docs, bench, shard=shard, held=held)).collect()
+            assert sorted((r.doc_id or 0, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == want
+            left = decontam.cleaned(docs, bench, shard=shard, held=held)
+            assert left.columns == docs.columns
+            assert sorted(r.doc_id or 0 for r in left.collect()) == sorted(w[0] for w in want if not w[5])
+
+
+def test_op8_very_long_text():
+    long_ = ["a", "b"] * 400_000
+    item = ["a", "b"] * 7
+    automaton = decontam.Automaton([("x", [w.encode() for w in item])])
+    spans, found = automaton.match([w.encode() for w in long_])
+    assert spans == [(0, 800_000)] and found == {"x"}
