@@ -2,14 +2,16 @@
 
 Base patterns give spans by kind. Beside them, long unbroken strings go through a battery of randomness tests: their
 encoding is inferred (hex, base32, alphanumeric or base64), and over its alphabet three statistics are taken:
-chi-squared of uniformity, the number of runs of the alphabet's halves, and lag-one serial correlation. Each string's
-p-value says how likely ordinary text of that length would look as random, by two tests of which the better counts,
-at half the level each: chi-squared as low as the string's, and a likelihood ratio. The latter holds symbols drawn
-evenly against a model of ordinary strings: letters of one case, digits and signs come in stretches, and letters by
-their shares in words. Ordinary strings of the model exceed a ratio of x with a probability of 1/x at most, whatever
-their length and style, so that strings of 20 symbols can be told as well. Runs or serial correlation unlike randomness veto
-both tests, chi-squared above an even draw's the ratio. Benjamini-Hochberg control then holds within each class of
-length and encoding, over all texts.
+chi-squared of uniformity, the number of runs of the alphabet's halves, and lag-one serial correlation.
+
+Each string's p-value says how likely ordinary text of that length would look as random. Of two tests the better
+counts, at half the level each: chi-squared as low as the string's, and a likelihood ratio. The latter holds symbols
+drawn evenly against a model of ordinary strings: letters of one case, digits and signs come in stretches, and letters
+by their shares in words. Ordinary strings of the model exceed a ratio of x with a probability of 1/x at most, whatever
+their length and style, so that strings of 20 symbols can be told as well. The three tests' own p-values, of as much
+deviation from an even draw, are joined by Fisher's method; where the joint p-value is under JOINT, the evidence is
+less by as many orders of magnitude. That can only make a p-value larger, so the level holds. Benjamini-Hochberg control
+then holds within each class of length and encoding, over all texts.
 
 How spans are found without positions from the engine: a mark that no text holds is put around the matches, the text
 is split at it, and the lengths of the parts add up to positions, in code points.
@@ -23,7 +25,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.session import stored
+from quillon.session import stored, unused
 
 KINDS = ("assign", "access", "hex", "random")
 _HEAD = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?"
@@ -53,8 +55,8 @@ _STYLES = (
 #: Shares of letters in Latin-script words, in percent, and how far they are trusted against even shares.
 _SHARES = dict(zip(_LOWER, (8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.2, 0.8, 4.0, 2.4, 6.7, 7.5, 1.9, 0.1, 6.0, 6.3, 9.1, 2.8, 1.0, 2.4, 0.2, 2.0, 0.1), strict=True))
 _TRUST = 0.7
-#: Level of false discoveries in each class; p-values under which runs or serial correlation veto; bins a unit of -log10 p.
-LEVEL, VETO, BINS = 0.001, 0.001, 10
+#: Level of false discoveries in each class; joint p-value of the three tests under which evidence is less; bins a unit of -log10 p.
+LEVEL, JOINT, BINS = 0.001, 0.05, 10
 _CHUNK = 256
 
 
@@ -159,9 +161,10 @@ def _ratio(s: Column, n: Column, counts: Column, alphabet: str, even: Column) ->
 
 
 def battery(value: Column) -> Column:
-    """Struct of a string: encoding (its place in ENCODINGS, -1: ordinary text), n, chi2, runs_p, serial_p, evidence.
+    """Struct of a string: encoding (its place in ENCODINGS, -1: ordinary text), n, chi2, its p-value against an even
+    draw, those of runs and serial correlation, all three joint_p, and evidence: -log10 of the p-value of ordinary text.
 
-    evidence is -log10 of the p-value. Strings without both a digit and a letter are ordinary, as are those of under 20 symbols; vetoed ones have evidence 0.
+    Strings without both a digit and a letter are ordinary, as are those of under 20 symbols.
     """
 
     def tested(k: int, s: Column) -> Column:
@@ -185,11 +188,14 @@ def battery(value: Column) -> Column:
             draws = math.log10(3) if size > 36 else 0.0
             spare = lambda e: 2 / (9 * (e - 1))
             uneven = lambda c, e: (F.cbrt(((c + n) * e / size - n) / (e - 1)) - 1 + spare(e)) / F.sqrt(spare(e))  # noqa: E731  Wilson and Hilferty's normal for chi-squared
-            ratio = lambda c, e: F.when(_normal(-uneven(c, e)) >= VETO, _ratio(s, n, counts, alphabet, e) - draws).otherwise(0.0)
-            better = lambda c, e: F.greatest(_evidence(z(c)), ratio(c, e)) - math.log10(2)
-            return _let(F.struct(chi2.alias("c"), runs.alias("r"), serial_p.alias("p"), even.alias("e")), lambda y: F.struct(
-                F.lit(k).alias("encoding"), n.cast("int").alias("n"), y["c"].alias("chi2"), y["r"].alias("runs_p"), y["p"].alias("serial_p"),
-                F.when((y["r"] >= VETO) & (y["p"] >= VETO), F.greatest(better(y["c"], y["e"]), F.lit(0.0))).otherwise(0.0).alias("evidence")))
+            better = lambda c, e: F.greatest(_evidence(z(c)), _ratio(s, n, counts, alphabet, e) - draws) - math.log10(2)
+            sure = lambda p: -F.log(F.greatest(p, F.lit(1e-30)))
+            joint = lambda x: -x + F.log(1 + x + x * x / 2)  # noqa: E731  the log of Fisher's of three tests, x half of his statistic
+            less = lambda j: F.least((j - math.log(JOINT)) / math.log(10), F.lit(0.0))
+            tests = F.struct(chi2.alias("c"), runs.alias("r"), serial_p.alias("p"), even.alias("e"))
+            return _let(tests, lambda y: _let(_normal(-uneven(y["c"], y["e"])), lambda q: _let(joint(sure(q) + sure(y["r"]) + sure(y["p"])), lambda j: F.struct(
+                F.lit(k).alias("encoding"), n.cast("int").alias("n"), y["c"].alias("chi2"), q.alias("chi2_p"), y["r"].alias("runs_p"), y["p"].alias("serial_p"),
+                F.exp(j).alias("joint_p"), F.greatest(better(y["c"], y["e"]) + less(j), F.lit(0.0)).alias("evidence")))))
 
         half = F.translate(s, alphabet, "0" * (size // 2) + "1" * (size - size // 2))
         place = F.transform(F.split(s, ""), lambda c: F.instr(F.lit(alphabet), c).cast("double"))
@@ -197,7 +203,7 @@ def battery(value: Column) -> Column:
         return _let(F.struct(s.alias("s"), F.length(s).cast("double").alias("n"), half.alias("h"), place.alias("r"), counts.alias("q")), of)
 
     body = F.regexp_replace(value, "=+$", "")
-    plain = F.struct(F.lit(-1).alias("encoding"), F.length(body).alias("n"), F.lit(0.0).alias("chi2"), F.lit(1.0).alias("runs_p"), F.lit(1.0).alias("serial_p"), F.lit(0.0).alias("evidence"))
+    plain = F.struct(F.lit(-1).alias("encoding"), F.length(body).alias("n"), F.lit(0.0).alias("chi2"), *[F.lit(1.0).alias(x) for x in ("chi2_p", "runs_p", "serial_p", "joint_p")], F.lit(0.0).alias("evidence"))
     out = F.when(~value.rlike("[0-9]") | ~value.rlike("[A-Za-z]") | (F.length(body) < 20), plain)
     for k, (name, _, pattern, _) in enumerate(ENCODINGS):
         out = out.when(value.rlike(pattern), tested(k, F.lower(body) if name == "hex" else body))
@@ -206,7 +212,7 @@ def battery(value: Column) -> Column:
 
 def scan(text: Column) -> Column:
     """Struct of a text: base (spans (start, kind, stop) by start, then kind) and tried ((start, stop, encoding, size,
-    evidence) of long strings that meet no base span; size is the class of length, by powers of two)."""
+    evidence) of long strings that no base span holds whole; size is the class of length, by powers of two)."""
     whole = F.coalesce(text.cast("string"), F.lit(""))
     clean = F.when(F.instr(whole, _MARK) > 0, F.translate(whole, _MARK, "\x02")).otherwise(whole)
     return _let(clean, lambda t: _let(F.array_sort(F.concat(*[_base(t, k) for k in range(3)])), lambda b: _beside(t, b)))
@@ -214,7 +220,7 @@ def scan(text: Column) -> Column:
 
 def _beside(clean: Column, b: Column) -> Column:
     strings = F.filter(_matches(clean, _LONG), lambda m: m["value"].rlike("[0-9]") & m["value"].rlike("[A-Za-z]"))
-    free = F.filter(strings, lambda m: ~F.exists(b, lambda s: (s["start"] < m["stop"]) & (m["start"] < s["stop"])))
+    free = F.filter(strings, lambda m: ~F.exists(b, lambda s: (s["start"] <= m["start"]) & (m["stop"] <= s["stop"])))
     tried = F.transform(free, lambda m: _let(battery(m["value"]), lambda t: F.struct(
         m["start"].alias("start"), m["stop"].alias("stop"), t["encoding"].alias("encoding"),
         F.floor(F.log2(F.greatest(t["n"], F.lit(1)).cast("double"))).cast("int").alias("size"), t["evidence"].alias("evidence"))))
@@ -261,9 +267,12 @@ def find_secrets(docs: DataFrame, level: float = LEVEL) -> DataFrame:
 
 
 def redacted(docs: DataFrame, level: float = LEVEL, mark: str = "[redacted]") -> DataFrame:
-    """docs with every secret in text replaced by `mark` (overlapping spans by one); n_chars, if there, is the new
-    length where a text changed. All rows and columns stay; texts are read twice, as the thresholds need all of them."""
-    least = thresholds(docs.select(scan(F.col("text")).alias("found")), level)
+    """docs with every secret in text replaced by `mark` (spans that overlap by one); n_chars, if there, is the new
+    length where a text changed. All rows and columns stay, whatever their names; null and empty texts stay as they
+    are. What the scan finds is written beside the rows, as the thresholds need all of them: texts are scanned once."""
+    found, new = unused(docs, "found", "new")
+    docs = stored(docs.withColumn(found, scan(F.col("text"))), "scanned")
+    least = thresholds(docs.select(F.col(found).alias("found")), level)
     state = "struct<out:string,at:bigint>"
 
     def replace(text: Column, spans: Column) -> Column:
@@ -275,16 +284,13 @@ def redacted(docs: DataFrame, level: float = LEVEL, mark: str = "[redacted]") ->
         first = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")).cast(state)
         return F.aggregate(spans, first, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
 
-    def changed(text: Column) -> Column:
-        """The new text, or null where nothing is found; the scan stands once in the expression."""
-        spans = lambda f: _all_spans(f, least)
-        return _let(scan(text), lambda f: _let(spans(f), lambda s: F.when(F.size(s) > 0, replace(text, s))))
-
-    names = docs.columns
-    out = docs.withColumn("_new", changed(F.col("text").cast("string")))
-    values = {"text": F.coalesce("_new", "text")}
+    text = F.col("text").cast("string")
+    changed = _let(_all_spans(F.col(found), least), lambda s: F.when(F.size(s) > 0, replace(text, s)))
+    names = [c for c in docs.columns if c != found]
+    out = docs.withColumn(new, changed)
+    values = {"text": F.coalesce(new, "text")}
     if "n_chars" in names:
-        values["n_chars"] = F.when(F.col("_new").isNotNull(), F.length("_new").cast("long")).otherwise(F.col("n_chars"))
+        values["n_chars"] = F.when(F.col(new).isNotNull(), F.length(new).cast("long")).otherwise(F.col("n_chars"))
     return out.select(*[values[c].alias(c) if c in values else F.col(f"`{c}`") for c in names])
 
 

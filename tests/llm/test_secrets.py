@@ -1,5 +1,6 @@
 import math
 import random
+import re
 import string
 
 from pyspark.sql import functions as F
@@ -89,3 +90,87 @@ def test_op6_ratio_matches_plain_version(spark):
             best = max(sum(style[a + b] for a, b in zip(kinds, kinds[1:], strict=False)) for style in styles)
             want = -len(r.s) * math.log(16) - sum(symbols[c] for c in r.s) - first[kinds[0]] - best
             assert abs(r.x - want / math.log(10)) < 1e-6, (name, r.s)
+
+
+def phi(x):
+    return math.erfc(-x / math.sqrt(2)) / 2
+
+
+def plain_battery(value):
+    """The battery by its definitions; None for ordinary text."""
+    body = value.rstrip("=")
+    if not re.search("[0-9]", value) or not re.search("[A-Za-z]", value) or len(body) < 20:
+        return None
+    k = next(k for k, e in enumerate(secrets.ENCODINGS) if re.search(e[2], value))
+    name, alphabet, _, extra = secrets.ENCODINGS[k]
+    s = body.lower() if name == "hex" else body
+    n, size = len(s), len(alphabet)
+    place = [alphabet.index(c) for c in s]
+    chi2 = sum((place.count(i) - n / size) ** 2 / (n / size) for i in range(size))
+    high = [p >= size // 2 for p in place]
+    runs, ones = 1 + sum(a != b for a, b in zip(high, high[1:], strict=False)), sum(high)
+    mean = 2 * ones * (n - ones) / n + 1
+    runs_p = 2 * phi(-abs(runs - mean) / math.sqrt(max((mean - 1) * (mean - 2) / (n - 1), 1e-9)))
+    d = [p - sum(place) / n for p in place]
+    serial = sum(a * b for a, b in zip(d, d[1:], strict=False)) / max(sum(a * a for a in d), 1e-9)
+    serial_p = 2 * phi(-abs((serial + 1 / n) * math.sqrt(n)))
+    two_cases = size > 36 and re.search("[a-z]", s) and re.search("[A-Z]", s)
+    even = size if size <= 36 or two_cases else size - 26
+    spare = 2 / (9 * (even - 1))
+    chi2_p = phi(-((((chi2 + n) * even / size - n) / (even - 1)) ** (1 / 3) - 1 + spare) / math.sqrt(spare)) if (chi2 + n) * even / size > n else None
+    if chi2_p is None:  # the cube root of a negative number
+        x = ((chi2 + n) * even / size - n) / (even - 1)
+        chi2_p = phi(-(-(abs(x) ** (1 / 3)) - 1 + spare) / math.sqrt(spare))
+    half = -sum(math.log(max(p, 1e-30)) for p in (chi2_p, runs_p, serial_p))
+    joint = math.exp(-half) * (1 + half + half * half / 2)
+    low = phi((chi2 - (size - 1 + n * extra)) / math.sqrt(2 * (size - 1 + 2 * n * extra)))
+    symbols, first, styles = secrets.ordinary(alphabet)
+    kinds = [secrets._kind(c) for c in s]
+    fit = max(sum(style[a + b] for a, b in zip(kinds, kinds[1:], strict=False)) for style in styles)
+    ratio = (-n * math.log(even) - sum(symbols[c] for c in s) - first[kinds[0]] - fit) / math.log(10)
+    evidence = max(-math.log10(low), ratio - (math.log10(3) if size > 36 else 0)) - math.log10(2)
+    return k, n, chi2, chi2_p, runs_p, serial_p, joint, max(0.0, evidence + min(0.0, math.log10(joint / 0.05)))
+
+
+def test_op6_battery_and_control_match_plain_versions(spark):
+    rng = random.Random(12)
+    texts = ["".join(rng.choices(a, k=rng.randint(15, 80))) + rng.choice(["", "=", "=="]) for _, a, _, _ in secrets.ENCODINGS for _ in range(40)]
+    texts += ["a1" * 20, "Release2Candidate3Package", "0123456789abcdef" * 3, "1" * 30 + "a", "abcdefghij1234567890", "A1" + "B" * 40, "CAFE" * 8 + "12"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, s string").select("i", secrets.battery(F.col("s")).alias("b")).collect()
+    evidences = []
+    for r in got:
+        want = plain_battery(texts[r.i])
+        assert (r.b.encoding < 0) == (want is None), texts[r.i]
+        if want:
+            assert (r.b.encoding, r.b.n) == want[:2]
+            for x, y in zip((r.b.chi2, r.b.chi2_p, r.b.runs_p, r.b.serial_p, r.b.joint_p), want[2:7], strict=True):
+                assert abs(x - y) < 1e-6 * max(1, abs(y)), (texts[r.i], r.b, want)
+            assert texts[r.i][:4] != "a1a1" or r.b.evidence == 0
+            if r.b.evidence < 6 and want[7] < 6:  # beyond, approximations of far tails differ
+                assert abs(r.b.evidence - want[7]) < 0.02 * max(1, want[7]), (texts[r.i], r.b, want)
+            evidences.append((want[0], int(math.log2(want[1])), r.b.evidence))
+    tried = ", ".join(f"struct(0L as start, 1L as stop, {e} as encoding, {s} as size, {x!r}D as evidence)" for e, s, x in evidences)
+    scanned = spark.range(1).select(F.struct(F.expr(f"array({tried})").alias("tried")).alias("found"))
+    for level in (0.001, 0.05):
+        want = set()
+        for key in {x[:2] for x in evidences}:
+            bins = sorted((math.floor(x[2] * secrets.BINS) for x in evidences if x[:2] == key), reverse=True)
+            good = [b for b in bins if b > 0 and 10 ** (-b / secrets.BINS) <= level * sum(c >= b for c in bins) / len(bins)]
+            if good:
+                want.add((*key, min(good) / secrets.BINS))
+        assert set(secrets.thresholds(scanned, level)) == want
+
+
+def test_op6_strings_around_base_spans_are_tried(spark):
+    rng = random.Random(3)
+    alphabet = string.ascii_letters + string.digits
+    draw = lambda n: "".join(rng.choices(alphabet, k=n))
+    rows = [(i, "see " + draw(30) + "deadbeefdeadbeef" + draw(30) + " end") for i in range(20)] + [(100, "token=" + draw(40)), (101, "token=" + draw(40) + " " + draw(60))]
+    got = check(spark, rows)
+    assert sum("random:4:80" in got[i].spans for i in range(20)) >= 18
+    assert got[100].spans.count("random") == 0 and got[101].spans.count("random") == 1
+    left = {r.doc_id: r for r in secrets.redacted(data.frame(spark, rows)).collect()}
+    assert sum(left[i].text == "see [redacted] end" for i in range(20)) >= 18
+    odd = spark.createDataFrame([(1, "x token=abcdefghijklmno", "keep", "this")], "doc_id long, text string, _new string, found string")
+    out = secrets.redacted(odd).collect()[0]
+    assert (out.text, out._new, out["found"]) == ("x [redacted]", "keep", "this")
