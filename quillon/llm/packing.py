@@ -1,9 +1,13 @@
 """Best-fit packing by bin completion.
 
 Only lengths matter to a packing, and there are at most `capacity` of them, so the search runs on the driver over
-counts by length, however many documents there are: best-fit decreasing gives the incumbent; if it doesn't meet the
-waste bound, branch and bound fills bins around the largest piece left, over undominated fillings, pruned by that
-bound. The plan (a few bin shapes with multiplicities) then goes to the pieces by their rank among equals.
+counts by length, however many documents there are. Best-fit decreasing gives the incumbent. If it doesn't meet the
+waste bound, branch and bound fills bins around the largest piece left, over undominated fillings, least waste first:
+which sums the other pieces can reach is found first, so that only fillings of a wanted waste are walked. A filling is
+used as often as it can be, then, as other branches, fewer times. Branches whose bound reaches the incumbent are
+pruned, as are pieces left that were met before with as few bins; best-fit of what is left renews the incumbent. With
+`nodes` and `width` both None the search is exact. The plan (bin shapes with multiplicities) then goes to the pieces
+by their rank among equals; pieces that fill a sequence need no rank.
 
 Null texts pack as the end id alone; equal doc_ids are separate documents, told apart by their order of text hash;
 an empty table gives no rows. Columns other than doc_id and text are not read.
@@ -14,7 +18,9 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,10 +29,12 @@ from quillon.llm import bpe
 from quillon.session import ship, stored
 
 CAPACITY = 1024
-#: Nodes of the branch-and-bound search, and fillings tried at a node, before the incumbent stands.
-NODES, WIDTH = 150, 24
-#: Pieces of one length in a bucket within which ranks are counted, about.
-BUCKET = 500
+#: Nodes of the branch-and-bound search, and fillings tried at a node, before the incumbent stands; None: no limit.
+NODES, WIDTH = 3000, 8
+#: Lengths left at a node up to which best-fit of them may renew the incumbent.
+RENEW = 48
+#: Pieces of one length in a bucket within which ranks are counted, and buckets whose sums are added up at once, about.
+BUCKET, GROUP = 500, 4096
 
 Shape = tuple[tuple[int, int], ...]  # (length, how many), longest first
 
@@ -64,98 +72,128 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Shape, int]]:
     return done + [x for group in open_.values() for x in group]
 
 
-def fillings(first: int, counts: dict[int, int], capacity: int, width: int) -> list[Shape]:
-    """Undominated fillings of a bin that holds `first`, least waste first: no piece left could be added,
-    and none in it could give way to a single longer one that fits."""
-    lengths = sorted((x for x, n in counts.items() if n > (x == first)), reverse=True)
-    found: list[tuple[int, Shape]] = []
-    budget = [40 * width]
+def fillings(first: int, counts: dict[int, int], capacity: int) -> Iterator[Shape]:
+    """Undominated fillings of a bin that holds `first`, least waste first: no piece left could be added, and none in
+    it could give way to a single longer one that fits."""
+    room = capacity - first
+    lengths = sorted((x for x, n in counts.items() if n > (x == first) and x <= room), reverse=True)
+    most = [min(counts[x] - (x == first), room // x) for x in lengths]
+    mask = (1 << (room + 1)) - 1
+    reach = [1]  # from the end: bit t is set if the lengths from there on have fillings of sum t
+    for x, n in zip(reversed(lengths), reversed(most), strict=True):
+        sums, step = reach[-1], 1
+        while n > 0:  # as many as a binary number has
+            k = min(step, n)
+            sums |= sums << (k * x) & mask
+            n, step = n - k, 2 * step
+        reach.append(sums)
+    reach.reverse()
 
-    def grow(k: int, room: int, taken: list[tuple[int, int]]) -> None:
-        budget[0] -= 1
-        if budget[0] < 0 or len(found) >= 4 * width:
-            return
-        while k < len(lengths) and lengths[k] > room:
+    def grow(k: int, left: int) -> Iterator[list[tuple[int, int]]]:
+        """Fillings of sum `left` exactly from lengths[k:]."""
+        while left and k < len(lengths) and not (lengths[k] <= left and most[k]):
             k += 1
+        if not left:
+            yield []
+            return
         if k == len(lengths):
-            held = dict(taken)
-            for x in held:  # dominated: one longer piece in place of x
-                if any(x < y <= x + room and counts[y] - (y == first) > held.get(y, 0) for y in lengths):
-                    return
-            found.append((room, tuple([(first, 1 + held.pop(first, 0)), *held.items()])))
             return
         x = lengths[k]
-        most = min(counts[x] - (x == first), room // x)
-        for n in range(most, -1, -1):
-            grow(k + 1, room - n * x, taken + [(x, n)] * (n > 0))
+        for n in range(min(most[k], left // x), -1, -1):
+            if reach[k + 1] >> (left - n * x) & 1:
+                for tail in grow(k + 1, left - n * x):
+                    yield [(x, n)] * (n > 0) + tail
+
+    def undominated(shape: list[tuple[int, int]], waste: int) -> bool:
+        held = dict(shape)
+        free = [x for x, n in zip(lengths, most, strict=True) if counts[x] - (x == first) > held.get(x, 0)]
+        return not any(y <= waste for y in free) and not any(x < y <= x + waste for x in held for y in free)
 
-    grow(0, capacity - first, [])
-    out: dict[Shape, int] = {}
-    for room, shape in sorted(found, key=lambda f: f[0]):
-        out.setdefault(shape, room)
-    return list(out)[:width]
+    for total in range(room, -1, -1):
+        if reach[0] >> total & 1:
+            for shape in grow(0, total):
+                if undominated(shape, room - total):
+                    held = dict(shape)
+                    yield ((first, 1 + held.pop(first, 0)), *held.items())
 
 
 def bound(counts: dict[int, int], capacity: int) -> int:
-    """Bins needed at least: by the sum, and by pieces over half a bin with what can't join them."""
-    total = sum(x * n for x, n in counts.items())
-    best = -(-total // capacity)
-    small_lengths = sorted(x for x in counts if 2 * x <= capacity)
-    for k in {0, *small_lengths[:: max(1, len(small_lengths) // 16)]}:  # any k gives a bound
-        big = sum(n for x, n in counts.items() if x > capacity - k)
-        half = [(x, n) for x, n in counts.items() if capacity - k >= x and 2 * x > capacity]
-        free = sum(n * (capacity - x) for x, n in half)
-        small = sum(x * n for x, n in counts.items() if k <= x and 2 * x <= capacity)
-        best = max(best, big + sum(n for _, n in half) + max(0, -(-(small - free) // capacity)))
-    return best
+    """Bins needed at least: by the sum, and, for every k, by pieces over half a bin with what of k and more can't join them."""
+    c = np.zeros(capacity + 2, np.int64)
+    for x, n in counts.items():
+        c[x] = n
+    number, mass = np.cumsum(c), np.cumsum(c * np.arange(capacity + 2))
+    k, half = np.arange(capacity // 2 + 1), capacity // 2
+    big = number[capacity] - number[capacity - k]  # over capacity - k: nothing counted can join them
+    halves = number[capacity - k] - number[half]
+    free = halves * capacity - (mass[capacity - k] - mass[half])
+    small = mass[half] - np.where(k > 0, mass[k - 1], 0)
+    return int((big + halves + np.maximum(0, -(-(small - free) // capacity))).max())
 
 
-def complete(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES, width: int = WIDTH) -> list[tuple[Shape, int]]:
-    """Bin shapes with multiplicities for all pieces: best-fit decreasing, or better where the search finds it."""
+def complete(counts: dict[int, int], capacity: int = CAPACITY, nodes: int | None = NODES, width: int | None = WIDTH) -> list[tuple[Shape, int]]:
+    """Bin shapes with multiplicities for all pieces: best-fit decreasing, or better where the search finds it within
+    `nodes` nodes of `width` fillings each. The optimum if both are None."""
     counts = {x: n for x, n in counts.items() if n}
     best = best_fit(counts, capacity)
     bins = sum(n for _, n in best)
     low = bound(counts, capacity)
-    left = [nodes]
-
-    def search(rest: dict[int, int], used: int, plan: list[tuple[Shape, int]]) -> None:
-        """Depth is at most the number of lengths and shapes, as a shape is used as often as it can be."""
-        nonlocal best, bins
-        while True:
-            if not rest:
-                if used < bins:
-                    best, bins = plan, used
-                return
-            left[0] -= 1
-            if left[0] < 0 or bins == low or used + bound(rest, capacity) >= bins:
-                return
+    met: dict[tuple[tuple[int, int], ...], int] = {}
+
+    def branches(rest: dict[int, int], used: int, plan: tuple) -> Iterator[tuple[dict[int, int], int, tuple]]:
+        """What is left after each filling around the largest piece, used as often as it can be; then fewer times."""
+        options = list(islice(fillings(max(rest), rest, capacity), width))
+        fewer = []
+        for shape in options:
+            most = min(rest[x] // k for x, k in shape)
+            fewer += [(shape, n) for n in range(most - 1, 0, -1)][:width]
+            yield _after(rest, shape, most), used + most, (plan, (shape, most))
+        for shape, n in fewer:
+            yield _after(rest, shape, n), used + n, (plan, (shape, n))
+
+    def listed(plan: tuple) -> list[tuple[Shape, int]]:
+        out = []
+        while plan:
+            plan, last = plan
+            out.append(last)
+        return out[::-1]
+
+    stack = [iter([(counts, 0, ())])]
+    visited = 0
+    while stack and bins > low and (nodes is None or visited < nodes):
+        node = next(stack[-1], None)
+        if node is None:
+            stack.pop()
+            continue
+        rest, used, plan = node
+        visited += 1
+        if not rest:
+            if used < bins:
+                best, bins = listed(plan), used
+            continue
+        if used + bound(rest, capacity) >= bins:
+            continue
+        if len(rest) <= RENEW:
+            key = tuple(sorted(rest.items()))
+            if met.get(key, bins) <= used:
+                continue
+            met[key] = used
             tail = best_fit(rest, capacity)
             if used + (more := sum(n for _, n in tail)) < bins:
-                best, bins = plan + tail, used + more
-                if bins == low:
-                    return
-            options = fillings(max(rest), rest, capacity, width)
-            if not options:
-                return
-            nexts = []
-            for shape in options:
-                many = min(rest[x] // k for x, k in shape)
-                after = dict(rest)
-                for x, k in shape:
-                    after[x] -= k * many
-                    if not after[x]:
-                        del after[x]
-                nexts.append((after, used + many, [*plan, (shape, many)]))
-            for after, u, p in nexts[1:]:
-                stack.append((after, u, p))
-            rest, used, plan = nexts[0]
-
-    stack = [(counts, 0, [])]
-    while stack and left[0] > 0 and bins > low:
-        search(*stack.pop())
+                best, bins = listed(plan) + tail, used + more
+        stack.append(branches(rest, used, plan))
     return best
 
 
+def _after(rest: dict[int, int], shape: Shape, many: int) -> dict[int, int]:
+    out = dict(rest)
+    for x, k in shape:
+        out[x] -= k * many
+        if not out[x]:
+            del out[x]
+    return out
+
+
 _PIECES = "doc_id long, tie long, piece int, start long, length int, ids_crc32 long"
 
 
@@ -184,18 +222,22 @@ def _cut(path: str, end: int, capacity: int, with_ids: bool):
     return run
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, end: int = 2, vocabulary: str | None = None, with_ids: bool = False, nodes: int = NODES) -> DataFrame:
+def pack(
+    docs: DataFrame, capacity: int = CAPACITY, end: int = 2, vocabulary: str | None = None, with_ids: bool = False, nodes: int | None = NODES, width: int | None = WIDTH
+) -> DataFrame:
     """Pack all documents: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids, if asked).
 
     Documents of over `capacity` ids are cut into pieces of that length, the first of which may be shorter. A piece
-    that fills a sequence has it alone. The driver holds one count a length and the shapes, which `capacity` bounds.
+    that fills a sequence has it alone. `nodes` and `width` bound the search (see complete()), never what is packed.
+    The driver holds one count a length and the shapes, which `capacity` bounds.
     """
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("tie"), F.col("text").cast("string").alias("text"))
     pieces = stored(rows.mapInArrow(_cut(vocabulary or bpe.vocabulary(), end, capacity, with_ids), _PIECES + ", ids binary" * with_ids), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    plan = complete(counts, capacity, nodes)
+    counts.pop(capacity, None)
+    plan = complete(counts, capacity, nodes, width)
     first, spans, used = 0, [], dict.fromkeys(counts, 0)
     for shape, many in plan:
         at = 0
@@ -204,23 +246,30 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end: int = 2, vocabulary: st
             used[length] += k * many
             at += k * length
         first += many
+    out = ["doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32"]
+    full = pieces.where(F.col("length") == capacity).select(*out, (F.monotonically_increasing_id() + first).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), *["ids"] * with_ids)
     # ranks among equals: rows by bucket, then buckets by their sums, so that no task holds all pieces of a length
     dealt = spark.createDataFrame([(x, -(-n // BUCKET)) for x, n in counts.items()], "d_length int, d_buckets int")  # at most `capacity` rows
-    pieces = pieces.join(F.broadcast(dealt), F.col("length") == F.col("d_length"))
-    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "tie", "piece"), F.col("d_buckets"))).drop("d_length", "d_buckets")
-    sums = pieces.groupBy("length", "bucket").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    sums = sums.select(F.col("length").alias("s_length"), F.col("bucket").alias("s_bucket"), F.coalesce(before, F.lit(0)).alias("before"))
+    part = pieces.where(F.col("length") < capacity).join(F.broadcast(dealt), F.col("length") == F.col("d_length"))
+    part = part.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "tie", "piece"), F.col("d_buckets"))).drop("d_length", "d_buckets")
+    sums = part.groupBy("length", "bucket").agg(F.count("*").alias("n")).withColumn("of", F.floor(F.col("bucket") / GROUP))
+    upto = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = sums.groupBy("length", "of").agg(F.sum("n").alias("n"))
+    groups = groups.select(F.col("length").alias("g_length"), F.col("of").alias("g_of"), upto(Window.partitionBy("length").orderBy("of")).alias("g_before"))
+    sums = sums.select(F.col("length").alias("s_length"), F.col("bucket").alias("s_bucket"), "of", upto(Window.partitionBy("length", "of").orderBy("bucket")).alias("before"))
+    sums = sums.join(groups, (F.col("s_length") == F.col("g_length")) & (F.col("of") == F.col("g_of")))
+    sums = sums.select("s_length", "s_bucket", (F.col("before") + F.col("g_before")).alias("before"))
     within = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "tie", "piece", "start")) - 1
-    ranked = pieces.withColumn("within", within).join(sums, (F.col("length") == F.col("s_length")) & (F.col("bucket") == F.col("s_bucket")))
+    ranked = part.withColumn("within", within).join(sums, (F.col("length") == F.col("s_length")) & (F.col("bucket") == F.col("s_bucket")))
     ranked = ranked.withColumn("rank", F.col("before") + F.col("within"))
     # a row for each length of each shape: bounded by the lengths, which capacity bounds
     shapes = spark.createDataFrame(spans, "t_length int, low long, high long, first long, k int, at int")
     on = (F.col("length") == F.col("t_length")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))
     placed = ranked.join(F.broadcast(shapes), on)
     turn = F.col("rank") - F.col("low")
-    return placed.select(
-        "doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32",
+    placed = placed.select(
+        *out,
         (F.col("first") + F.floor(turn / F.col("k"))).cast("long").alias("sequence_id"),
         (F.col("at") + (turn % F.col("k")) * F.col("length")).cast("long").alias("offset"), *["ids"] * with_ids,
     )
+    return full.unionByName(placed)

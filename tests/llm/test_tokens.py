@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -61,9 +64,60 @@ def test_op9_empty_and_ties(spark):
     assert len(got) == 3 and {r.sequence_id for r in got} == {got[0].sequence_id} and sorted(r.offset for r in got) in ([0, 1, 3], [0, 2, 4], [0, 2, 3])
 
 
+def optimum(sizes, capacity):
+    best = [len(sizes)]
+
+    def go(i, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if i == len(sizes):
+            best[0] = len(rooms)
+            return
+        for j, room in enumerate(rooms):
+            if room >= sizes[i] and room not in rooms[:j]:
+                go(i + 1, [*rooms[:j], room - sizes[i], *rooms[j + 1 :]])
+        go(i + 1, [*rooms, capacity - sizes[i]])
+
+    go(0, [])
+    return best[0]
+
+
+def bins_of(plan):
+    return sum(n for _, n in plan)
+
+
+def test_search_is_exact_without_limits():
+    rng = random.Random(1)
+    lost = 0
+    for counts in [Counter(rng.randint(2, 18) for _ in range(rng.randint(1, 12))) for _ in range(150)] + [{3: 2, 4: 5, 6: 1, 8: 1, 9: 1, 11: 1}]:
+        plan = packing.complete(counts, 20, None, None)
+        held = Counter()
+        for shape, many in plan:
+            assert sum(x * k for x, k in shape) <= 20
+            for x, k in shape:
+                held[x] += k * many
+        assert held == counts
+        assert bins_of(plan) == optimum(sorted(Counter(counts).elements(), reverse=True), 20)
+        lost += bins_of(packing.best_fit(counts, 20)) > bins_of(plan)
+    assert lost
+
+
 def test_search_beats_best_fit():
+    rng = random.Random(1)
+    counts = Counter(rng.randint(200, 600) for _ in range(3000))
+    assert packing.bound(counts, 1024) <= bins_of(packing.complete(counts)) < bins_of(packing.best_fit(counts, 1024))
+
+
+def test_fillings_are_undominated_and_in_order():
     counts = {6: 3, 5: 3, 4: 3, 3: 3, 2: 6}
-    best = sum(n for _, n in packing.complete(counts, 10))
-    assert packing.bound(counts, 10) <= best <= sum(n for _, n in packing.best_fit(counts, 10))
-    shapes = packing.fillings(6, counts, 10, 10)
-    assert ((6, 1), (4, 1)) in shapes and all(sum(x * k for x, k in s) <= 10 for s in shapes)
+    shapes = list(packing.fillings(6, counts, 10))
+    wastes = [10 - sum(x * k for x, k in s) for s in shapes]
+    assert shapes[0] == ((6, 1), (4, 1)) and wastes == sorted(wastes) and min(wastes) >= 0
+    assert ((6, 1), (3, 1)) not in shapes and ((6, 1), (2, 2)) in shapes
+    assert list(packing.fillings(9, {9: 1, 5: 2}, 10)) == [((9, 1),)]
+
+
+def test_op9_full_pieces_stand_alone(spark):
+    got = packing.pack(data.frame(spark, [(1, "tie " * 500), (2, "tie " * 500), (3, None), (None, "a b c")]), capacity=16).collect()
+    full = [r.sequence_id for r in got if r.length == 16]
+    assert len(set(full)) == len(full) > 50 and not set(full) & {r.sequence_id for r in got if r.length < 16}
