@@ -1,8 +1,10 @@
 """Language identification by multilingual mixture inference.
 
 Each language has a smoothed model of hashed byte trigrams, counted over the labelled rows. A document is a mixture:
-expectation-maximisation finds the languages' proportions from the trigrams' likelihoods, and the set of languages
-is the one whose penalised likelihood (half the log of the trigrams for each language more) is best.
+expectation-maximisation finds the languages' proportions from the trigrams' likelihoods. From all languages that have
+a proportion, the smallest is left out again and again, and proportions are found anew; of these sets, and of each
+language alone, the one whose penalised likelihood (half the log of the trigrams for each language more) is best is
+the document's. Letters are code points of category L.
 """
 
 from __future__ import annotations
@@ -21,14 +23,27 @@ from quillon.session import ship
 BUCKETS, ROWS = 1 << 14, 4000
 #: Rounds of expectation-maximisation at most, and the change of a proportion below which it ends.
 ROUNDS, SETTLED = 20, 1e-3
+#: Proportion below which a language is left out at once.
+LEAST = 1e-4
 UND = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+_WORD = re.compile(r"[^\W\d_]+")
+
+
+def _words(text: str) -> list[str]:
+    """Runs of letters, in lower case."""
+    found = _WORD.findall(text.lower())
+    if "".join(found).isalpha():
+        return found
+    # signs of numbers, such as fractions, are word characters too, but no letters
+    return "".join(c if c.isalpha() else " " for c in " ".join(found)).split()
 
 
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the byte trigrams in use, with counts; letters are in lower case, all else is one blank."""
-    raw = np.frombuffer((" " + " ".join(re.findall(r"[^\W\d_]+", text.lower())) + " ").encode("utf-8"), np.uint8).astype(np.uint32)
-    if len(raw) < 3:
+    raw = np.frombuffer((" " + " ".join(_words(text)) + " ").encode("utf-8"), np.uint8).astype(np.uint32)
+    if len(raw) < 3:  # no letter
         return np.empty(0, np.int64), np.empty(0, np.int64)
     key = raw[:-2] | raw[1:-1] << np.uint32(8) | raw[2:] << np.uint32(16)
     counts = np.bincount((key * np.uint32(2654435761)) >> np.uint32(18), minlength=BUCKETS)
@@ -54,18 +69,17 @@ def infer(used: np.ndarray, counts: np.ndarray, model: np.ndarray) -> np.ndarray
         return share, float(counts @ np.log(share @ part))
 
     alone = np.log(like) @ counts
-    every, _ = settle(np.arange(len(model)), ROUNDS)
-    order = np.argsort(-every, kind="stable")
     best, share, which = alone.max(), np.ones(1), np.array([int(alone.argmax())])
-    for size in range(2, len(model) + 1):
-        chosen = order[:size]
-        if every[chosen[-1]] < 1e-4:
-            break
+    chosen = np.arange(len(model))
+    while len(chosen) > 1:
         got, fit = settle(chosen, ROUNDS)
-        fit -= 0.5 * (size - 1) * np.log(max(n, 2))
-        if fit <= best:
-            break
-        best, share, which = fit, got, chosen
+        if (got >= LEAST).all():
+            fit -= 0.5 * (len(chosen) - 1) * np.log(max(n, 2))
+            if fit > best:
+                best, share, which = fit, got, chosen
+            chosen = np.delete(chosen, np.argmin(got))
+        else:  # no proportion to speak of
+            chosen = chosen[got >= LEAST]
     out = np.zeros(len(model))
     out[which] = share / share.sum()
     return out
@@ -109,7 +123,8 @@ def predict(docs: DataFrame, langs: list[str], model: np.ndarray, keep: tuple[st
     """The columns `keep` with lang_pred, score (the share of lang_pred) and shares (a map of all languages found).
 
     Null texts and texts without a letter are `und` with score 0, as are all texts where no language was learned; ties
-    go to the language first in order. Repeated rows are rows; an empty table gives none.
+    go to the language first in order. Texts of any length are read whole; repeated rows are rows; an empty table
+    gives none.
     """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((langs, model))
@@ -121,7 +136,7 @@ def predict(docs: DataFrame, langs: list[str], model: np.ndarray, keep: tuple[st
         names, table = shared.value
         out = []
         for text in texts:
-            used, n = grams(text) if text and names and _LETTER.search(text) else ((), ())
+            used, n = grams(text) if text and names else ((), ())
             if not len(used):
                 out.append((UND, 0.0, {}))
                 continue
