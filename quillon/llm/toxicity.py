@@ -1,15 +1,18 @@
 """Toxicity as a severity grade, by cumulative-link ordinal regression over sparse text features.
 
 Words that mark toxic rows are found by counts over a bounded sample of labelled rows; a text's features are the
-rates of those words and whether they occur. Grades: 0 for rows labelled clean, 1 to 3 for toxic rows by terciles of
-their marked words per word. One weight vector serves all thresholds: P(grade > k) = sigmoid(w x - t_k) with
-t_0 <= t_1 <= t_2; the output is the expected grade.
+rates of those words and whether they occur. Labels tell clean rows, grade 0, from toxic ones; those get the grades 1
+to 3 by how sure rows that they weren't learned from are of them: the sample is halved by its ids, each half is
+regressed on its labels alone, and the other half's toxic rows are ranked by the log-odds it gives them, by terciles.
+One weight vector serves all thresholds: P(grade > k) = sigmoid(w x - t_k) with t_0 <= t_1 <= t_2; the output is the
+expected grade.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +21,8 @@ from pyspark.sql import functions as F
 
 from quillon.session import ship, stored
 
-#: Labelled rows of each class that the fit reads, about (drawn by a hash of the id), and marked words at most.
-ROWS, WORDS = 6000, 2000
+#: Labelled rows of each class that the fit reads, about (drawn by a hash of the id). All else is bounded by them.
+ROWS = 6000
 #: A marked word occurs in so many sampled toxic rows, and in one of so many at least, and so many times oftener than in clean rows.
 LEAST, SHARE, TIMES = 2, 500, 8.0
 GRADES = 4
@@ -61,8 +64,9 @@ class Model:
 
 
 def train(model: Model, rows: list[tuple[dict[int, float], int]], steps: int = 800, rate: float = 0.05, decay: float = 1e-3, weights: tuple[float, float] = (1.0, 1.0)) -> Model:
-    """Maximum likelihood of the cumulative-link model by Adam; cuts stay in order as sums of exponentials. weights:
-    how many rows a clean and a toxic one stand for, so that the base rate is that of all rows, not of the sample."""
+    """Maximum likelihood of the cumulative-link model by Adam, up to the largest grade among the rows; cuts stay in
+    order as sums of exponentials. weights: how many rows a clean and a toxic one stand for, so that the base rate is
+    that of all rows, not of the sample."""
     size = 2 * len(model.words) + 1
     r = np.array([k for k, (x, _) in enumerate(rows) for _ in x], np.int64)
     c = np.array([i for x, _ in rows for i in x], np.int64)
@@ -70,7 +74,7 @@ def train(model: Model, rows: list[tuple[dict[int, float], int]], steps: int = 8
     y = np.array([g for _, g in rows])
     each = np.where(y > 0, weights[1], weights[0])
     each = each / each.sum()
-    k = GRADES - 1
+    k = max(1, int(y.max(initial=0)))
     w, free = np.zeros(size), np.concatenate([[1.0], np.zeros(k - 1)])
     m, s = np.zeros(size + k), np.zeros(size + k)
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -94,8 +98,23 @@ def train(model: Model, rows: list[tuple[dict[int, float], int]], steps: int = 8
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model | None:
-    """From labelled rows (doc_id, toxic), about `rows` of each class; None unless both classes are there."""
+def _graded(words: list[str], rows: list[tuple[dict[int, float], int]], halves: np.ndarray, weights: tuple[float, float]) -> list[tuple[dict[int, float], int]]:
+    """rows (features, toxic) with grades for toxic; halves: which half each row is in."""
+    odds = np.zeros(len(rows))
+    for half in (0, 1):
+        learned = [r for r, h in zip(rows, halves, strict=True) if h != half]
+        own = np.flatnonzero(halves == half)
+        if len({y for _, y in learned}) == 2:
+            model = train(Model(words, np.zeros(0), np.zeros(0)), learned, weights=weights)
+            odds[own] = [sum(model.weights[i] * v for i, v in rows[k][0].items()) - model.cuts[0] for k in own]
+    toxic = np.array([y > 0 for _, y in rows])
+    cuts = np.quantile(odds[toxic], [1 / 3, 2 / 3])
+    return [(x, 1 + int(np.searchsorted(cuts, o)) if y else 0) for (x, y), o in zip(rows, odds, strict=True)]
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, least: int = LEAST, share: int = SHARE, times: float = TIMES) -> Model | None:
+    """From labelled rows (doc_id, toxic), about `rows` of each class; None unless both classes are there. A word marks
+    by `least`, `share` and `times` as their defaults say."""
     ship(docs.sparkSession)
     own = labels.where(F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("l_id")).agg(F.max("toxic").cast("int").alias("l_toxic"))
     sizes = {r["l_toxic"]: r["n"] for r in own.groupBy("l_toxic").agg(F.count("*").alias("n")).collect()}
@@ -111,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model | None:
         return None
     seen = sample.select("toxic", "text").mapInArrow(_distinct, "toxic int, word string").groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
     ratio = ((F.col("bad") + 0.5) / n[1]) / ((F.col("good") + 0.5) / n[0])
-    words = [r["word"] for r in seen.where((F.col("bad") >= max(LEAST, n[1] // SHARE)) & (ratio >= TIMES)).orderBy((F.col("bad") * F.log(ratio)).desc(), "word").limit(WORDS).collect()]
+    words = sorted(r["word"] for r in seen.where((F.col("bad") >= max(least, n[1] // share)) & (ratio >= times)).select("word").collect())
     model = Model(words, np.zeros(0), np.zeros(0))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -122,17 +141,16 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model | None:
         return pd.Series([shared.value.features(t) for t in texts], dtype=object)
 
     got = sample.select("toxic", "doc_id", sparse("text").alias("x")).orderBy("doc_id").collect()
-    share = 2 * len(words)
-    cuts = np.quantile([r["x"].get(share, 0.0) for r in got if r["toxic"]], [1 / 3, 2 / 3])
-    graded = [(r["x"], 1 + int(np.searchsorted(cuts, r["x"].get(share, 0.0))) if r["toxic"] else 0) for r in got]
-    return train(model, graded, weights=(max(1.0, sizes[0] / rows), max(1.0, sizes[1] / rows)))
+    halves = np.array([crc32(str(r["doc_id"]).encode()) % 2 for r in got])
+    weights = (max(1.0, sizes[0] / rows), max(1.0, sizes[1] / rows))
+    return train(model, _graded(words, [(r["x"], r["toxic"]) for r in got], halves, weights), weights=weights)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataFrame:
     """doc_id, severity (expected grade, 0 to 3), grade (the likeliest), p_toxic, toxic (p_toxic >= 0.5) for every row.
 
-    Null and empty texts have no words and get the model's base severity, never toxic; repeated rows are rows; without
-    labels of both classes every severity is 0; an empty table gives no rows.
+    Null and empty texts have no words and get the model's base severity; texts of any length are read whole; repeated
+    rows are rows; without labels of both classes every severity is 0; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, rows))
 
