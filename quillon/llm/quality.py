@@ -97,6 +97,17 @@ def class_prior(sp: np.ndarray, su: np.ndarray) -> float:
     return float(np.clip(best, 0.02, 0.98))
 
 
+def risk(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """The non-negative risk of positives' and unlabelled rows' log-odds, and the direction of a step for each. Where
+    the negative part is below 0, that is an overfit: the step undoes it, and the risk counts it as 0."""
+    sp, su = _sigmoid(zp), _sigmoid(zu)
+    positive = prior * np.logaddexp(0, -zp).mean()
+    negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    if negative >= 0:
+        return positive + negative, -prior * (1 - sp) / len(zp) - prior * sp / len(zp), su / len(zu)
+    return positive, prior * sp / len(zp), -su / len(zu)
+
+
 def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None) -> Model:
     """Non-negative PU fit of rows of measurements; the prior is estimated where it isn't given."""
     both = np.concatenate([positive, unlabelled])
@@ -114,15 +125,7 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = No
         w, b = _descend(p, u, size, plain)
         prior = class_prior(_sigmoid(w[p].sum(1) + b), _sigmoid(w[u].sum(1) + b))
 
-    def non_negative(zp, zu):
-        sp, su = _sigmoid(zp), _sigmoid(zu)
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        gp = -prior * (1 - sp) / len(zp)
-        if negative >= 0:
-            return gp - prior * sp / len(zp), su / len(zu)
-        return prior * sp / len(zp), -su / len(zu)  # undo the overfit of the negative part
-
-    w, b = _descend(p, u, size, non_negative)
+    w, b = _descend(p, u, size, lambda zp, zu: risk(zp, zu, prior)[1:])
     return Model(edges, w, b, prior)
 
 
@@ -166,7 +169,7 @@ def score(measured: DataFrame, model: Model | None) -> DataFrame:
 
 
 def quality(docs: DataFrame, labels: DataFrame, learn: Column | None = None, rows: int = ROWS) -> DataFrame:
-    """doc_id, score of every text of docs. Null and empty texts are scored as empty; repeated rows are rows; labels
-    without a document and documents without a label are fine; an empty table gives no rows."""
+    """doc_id, score of every text of docs. Null and empty texts are scored as empty; texts of any length are
+    read whole; repeated rows are rows; labels without a document and documents without a label are fine; an empty table gives no rows."""
     measured = measure(docs)
     return score(measured, fit(measured, labels, learn, rows))

@@ -81,6 +81,50 @@ def test_op10_finds_languages(spark):
     assert {r.lang_pred for r in langid.predict(df, *langid.fit(df.limit(0))).collect()} == {"und"}
 
 
+def test_op10_letters_are_of_category_l(spark):
+    df = spark.createDataFrame([(1, "½ ² ① Ⅷ 12 _"), (2, "½ é"), (3, "x²y"), (4, "٣٤"), (5, "ʰ"), (6, "a\u0301" * 3)], "doc_id long, text string")
+    langs, model = langid.fit(spark.createDataFrame(texts(random.Random(1), 30), "doc_id long, text string, lang string"))
+    got = {r.doc_id: r.lang_pred for r in langid.predict(df, langs, model).collect()}
+    assert {d for d, p in got.items() if p == "und"} == {1, 4}
+    assert langid._words("x²Y½ Ünï_code3b") == ["x", "y", "ünï", "code", "b"]
+
+
+def test_op10_set_is_the_best_of_all(spark):
+    """The likelihood of the set found against that of every set, by plain expectation-maximisation to the end."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(4)
+    for trial in range(25):
+        model = rng.dirichlet(np.full(40, 0.6), 4)
+        parts = rng.choice(4, rng.integers(1, 4), replace=False)
+        true = np.zeros(4)
+        true[parts] = rng.dirichlet(np.full(len(parts), 4.0))
+        counts = rng.multinomial(int(rng.integers(20, 800)), true @ model)
+        used = np.flatnonzero(counts)
+        n, like = counts[used], model[:, used]
+
+        def penalised(chosen, n=n, like=like):
+            share = np.full(len(chosen), 1 / len(chosen))
+            for _ in range(400):
+                joint = share @ like[list(chosen)]
+                share = share * (like[list(chosen)] @ (n / joint)) / n.sum()
+            return float(n @ np.log(share @ like[list(chosen)])) - 0.5 * (len(chosen) - 1) * np.log(n.sum()), share
+
+        best = max((penalised(c)[0], c) for k in range(1, 5) for c in combinations(range(4), k))
+        got = langid.infer(used, n, model)
+        chosen = tuple(np.flatnonzero(got))
+        assert penalised(chosen)[0] >= best[0] - 0.5, (trial, chosen, best)
+        assert np.abs(got[list(chosen)] - penalised(chosen)[1]).max() < 0.05
+
+
+def test_op10_very_long_text(spark):
+    rows = texts(random.Random(1), 40)
+    langs, model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    long_ = "kala mona " * 200_000 + "strech " * 100_000
+    got = langid.predict(spark.createDataFrame([(1, long_)], "doc_id long, text string"), langs, model).collect()[0]
+    assert got.lang_pred == "aa" and set(got.shares) == {"aa", "bb"}
+
+
 def test_op10_proportions_raise_the_likelihood():
     rng = np.random.default_rng(0)
     model = rng.dirichlet(np.ones(50), 3)
@@ -114,6 +158,61 @@ def test_op2_prior_and_risk():
     assert (model.scores(u[:2100]) >= 0.5).mean() > 0.95 and (model.scores(u[2100:]) < 0.5).mean() > 0.95
 
 
+def test_op2_risk_matches_its_definition():
+    rng = np.random.default_rng(6)
+    cost = lambda z, y: np.log1p(np.exp(-y * z))
+    for prior, shift in ((0.3, 0.0), (0.6, 1.0), (0.9, 3.0)):
+        zp, zu = rng.normal(shift, 1, 40), rng.normal(-shift, 1, 70)
+
+        def plain(zp, zu, prior=prior):
+            negative = cost(zu, -1).mean() - prior * cost(zp, -1).mean()
+            return prior * cost(zp, 1).mean(), negative
+
+        value, gp, gu = quality.risk(zp, zu, prior)
+        positive, negative = plain(zp, zu)
+        assert abs(value - positive - max(0, negative)) < 1e-9
+        # the step's direction: that of the whole risk, or away from a negative part under 0
+        goal = (lambda *z: sum(plain(*z))) if negative >= 0 else (lambda *z: -plain(*z)[1])
+        for z, g, at in ((zp, gp, 0), (zu, gu, 1)):
+            for i in (0, 7, 31):
+                up, down = [zp.copy(), zu.copy()], [zp.copy(), zu.copy()]
+                up[at][i] += 1e-5
+                down[at][i] -= 1e-5
+                assert abs((goal(*up) - goal(*down)) / 2e-5 - g[i]) < 1e-6, (prior, at, i, len(z))
+
+
+def test_op7_likelihood_is_the_largest():
+    rng = np.random.default_rng(2)
+    words = ["a", "b", "c"]
+    rows = []
+    for _ in range(400):
+        x = {int(i): 1.0 for i in np.flatnonzero(rng.random(3) < 0.4)} | {6: float(rng.random())}
+        z = 2.0 * (0 in x) + 1.0 * (1 in x) + x[6] + rng.logistic()
+        rows.append((x, int((z > 1) + (z > 2.2) + (z > 3.5))))
+
+    def cost(w, cuts, decay=1e-3):
+        """Mean negative log-likelihood of the grades, with the weights' decay."""
+        out = decay * (w @ w) / 2
+        for x, y in rows:
+            above = [1.0, *(1 / (1 + np.exp(c - sum(w[i] * v for i, v in x.items()))) for c in cuts), 0.0]
+            out -= np.log(above[y] - above[y + 1]) / len(rows)
+        return out
+
+    model = toxicity.train(toxicity.Model(words, np.zeros(0), np.zeros(0)), rows, steps=3000, rate=0.02)
+    assert (np.diff(model.cuts) > 0).all() and model.weights[0] > model.weights[1] > 0
+    best = cost(model.weights, model.cuts)
+    for _ in range(30):
+        assert cost(model.weights + rng.normal(0, 0.1, 7), model.cuts) > best
+        assert cost(model.weights, model.cuts + np.sort(rng.normal(0, 0.1, 3))) > best
+
+
+def test_op7_very_long_text(spark):
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(40)], "doc_id long, toxic int")
+    rows = [(i, "fine words here " * 20 + ("vile vile" if i % 2 else "")) for i in range(40)] + [(100, "vile " * 500_000), (101, "fine words " * 300_000)]
+    got = {r.doc_id: r for r in toxicity.toxicity(data.frame(spark, rows), labels).collect()}
+    assert got[100].toxic and not got[101].toxic
+
+
 def test_op7_grades_toxic_rows(spark):
     rng = random.Random(8)
 
