@@ -269,10 +269,13 @@ def find_secrets(docs: DataFrame, level: float = LEVEL) -> DataFrame:
 def redacted(docs: DataFrame, level: float = LEVEL, mark: str = "[redacted]") -> DataFrame:
     """docs with every secret in text replaced by `mark` (spans that overlap by one); n_chars, if there, is the new
     length where a text changed. All rows and columns stay, whatever their names; null and empty texts stay as they
-    are. What the scan finds is written beside the rows, as the thresholds need all of them: texts are scanned once."""
-    found, new = unused(docs, "found", "new")
-    docs = stored(docs.withColumn(found, scan(F.col("text"))), "scanned")
-    least = thresholds(docs.select(F.col(found).alias("found")), level)
+    are. The thresholds need the long strings of all texts, for which only texts that have any are scanned before the
+    pass that replaces.
+    """
+    text = F.col("text").cast("string")
+    found = scan(text)
+    some = F.when(text.rlike(_LONG), found["tried"])
+    least = thresholds(docs.select(F.struct(some.alias("tried")).alias("found")), level)
     state = "struct<out:string,at:bigint>"
 
     def replace(text: Column, spans: Column) -> Column:
@@ -284,9 +287,9 @@ def redacted(docs: DataFrame, level: float = LEVEL, mark: str = "[redacted]") ->
         first = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")).cast(state)
         return F.aggregate(spans, first, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
 
-    text = F.col("text").cast("string")
-    changed = _let(_all_spans(F.col(found), least), lambda s: F.when(F.size(s) > 0, replace(text, s)))
-    names = [c for c in docs.columns if c != found]
+    changed = _let(found, lambda f: _let(_all_spans(f, least), lambda s: F.when(F.size(s) > 0, replace(text, s))))
+    names = docs.columns
+    (new,) = unused(docs, "new")
     out = docs.withColumn(new, changed)
     values = {"text": F.coalesce(new, "text")}
     if "n_chars" in names:
