@@ -24,7 +24,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Entries of each of the two generations of one worker process's cache, about 0.2 KB each, and characters of an entry at most.
 CACHE, LONGEST = 300_000, 64
 #: Characters of texts that are cut at once, about.
-TOGETHER = 8_000_000
+TOGETHER = 4_000_000
 
 _held: dict[str, "Encoder"] = {}
 
@@ -52,9 +52,9 @@ def _byte_letters() -> dict[int, str]:
 class _Cache(dict):
     """Ids of each piece. A full cache becomes the old generation, from which pieces that are met again come back."""
 
-    def __init__(self, make):
+    def __init__(self, make, size: int):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.size, self.old = make, size, {}
 
     def __missing__(self, piece: str) -> bytes:
         got = self.old.get(piece)
@@ -62,7 +62,7 @@ class _Cache(dict):
             got = self.make(piece)
             if len(piece) > LONGEST:
                 return got
-        if len(self) >= CACHE:
+        if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
         self[piece] = got
@@ -72,7 +72,7 @@ class _Cache(dict):
 class Encoder:
     """Ids of texts by one vocabulary file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -82,7 +82,7 @@ class Encoder:
         self.letters = {chr(b): c for b, c in _byte_letters().items()}
         self.table = str.maketrans(self.letters)
         self.blank = self.letters[" "]
-        self.cache = _Cache(self._piece)
+        self.cache = _Cache(self._piece, cache)
 
     def _piece(self, piece: str) -> bytes:
         # the model works on a printable letter for each byte, which for most of ASCII is itself
@@ -120,6 +120,7 @@ class Encoder:
         cut = [self.pieces.findall(t) if self._sure(t) else None for t in texts]
         counts = [len(c) for c in cut if c is not None]
         coded = pa.array([p for c in cut if c for p in c], pa.string()).dictionary_encode()
+        cut = [c is None for c in cut]
         codes = coded.indices.to_numpy(zero_copy_only=False)
         cells = list(map(self.cache.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False)))
         sizes = np.fromiter(map(len, cells), np.int64, len(cells)) // 4
@@ -131,18 +132,18 @@ class Encoder:
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]).astype(np.int64)].tolist()
         data = memoryview(ids).cast("B")
         k = 0
-        for text, c in zip(texts, cut, strict=True):
-            if c is None:
+        for text, whole in zip(texts, cut, strict=True):
+            if whole:
                 yield self._whole(text)
             else:
                 yield bytes(data[4 * bounds[k] : 4 * bounds[k + 1]])
                 k += 1
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder for each vocabulary file and process."""
-    if path not in _held:
-        _held[path] = Encoder(path)
+def encoder(path: str, cache: int = CACHE) -> Encoder:
+    """One encoder for each vocabulary file and process; of the last asked for, as to the size of its cache."""
+    if path not in _held or _held[path].cache.size != cache:
+        _held[path] = Encoder(path, cache)
     return _held[path]
 
 

@@ -31,6 +31,8 @@ from quillon.session import ship, stored
 CAPACITY = 1024
 #: Nodes of the branch-and-bound search, and fillings tried at a node, before the incumbent stands; None: no limit.
 NODES, WIDTH = 3000, 8
+#: Entries of a worker's cache of pieces of text: a stage of a pipeline shares its worker's memory with others.
+CACHE = 200_000
 #: Lengths left at a node up to which best-fit of them may renew the incumbent.
 RENEW = 48
 #: Pieces of one length in a bucket within which ranks are counted, and buckets whose sums are added up at once, about.
@@ -201,7 +203,7 @@ def _cut(path: str, end: int, capacity: int, with_ids: bool):
     names = [x.split()[0] for x in _PIECES.split(", ")] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, tail = bpe.encoder(path), struct.pack("<I", end)
+        enc, tail = bpe.encoder(path, CACHE), struct.pack("<I", end)
         types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
         for batch in batches:
             cols: list[list] = [[] for _ in names]
