@@ -218,12 +218,18 @@ def kept(docs: DataFrame, most: int = 3, words: int = 3, hot: int = HOT) -> Data
     duplicates are judged apart. Null, empty and blank texts are one group. An empty table stays empty.
     """
     prints, labels = _labelled(docs, most, words, hot)
-    ranked = prints.join(labels, prints.fp == labels["of"]).select("label", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie").alias("row"))
-    rows = stored(ranked.groupBy("label", "row").agg(F.count("*").alias("n")), "rows-of-groups")
+    rows = prints.select("fp", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie").alias("row"))
+    rows = stored(rows.groupBy("fp", "row").agg(F.count("*").alias("n")), "rows-of-groups")
     discard(prints)
-    heads = rows.groupBy("label").agg(F.min("row").alias("head")).select(F.col("label").alias("of"), "head")
-    turned = stored(rows.join(heads, rows.label == heads["of"]).select("row.doc_id", "row.tie", F.col("row").eqNullSafe(F.col("head")).alias("first"), "n"), "turns")
-    discard(rows)
+    # the first row of each fingerprint, then of each group: a group's rows needn't meet, only its fingerprints
+    first = rows.groupBy("fp").agg(F.min("row").alias("first"))
+    named = stored(first.join(labels, first.fp == labels["of"]).select("fp", "first", "label"), "first-rows")
+    heads = named.groupBy("label").agg(F.min("first").alias("head")).select(F.col("label").alias("of"), "head")
+    head = stored(named.join(heads, named.label == heads["of"]).select(F.col("fp").alias("of"), "head"), "heads")
+    turned = rows.join(head, rows.fp == head["of"]).select("row.doc_id", "row.tie", F.col("row").eqNullSafe(F.col("head")).alias("first"), "n")
+    turned = stored(turned, "turns")
+    for done in (rows, named, head):
+        discard(done)
     own, tie = unused(docs, "id", "tie")
     keyed = docs.withColumn(own, F.col("doc_id").cast("long")).withColumn(tie, F.xxhash64(F.col("text").cast("string")))
 
