@@ -221,6 +221,10 @@ def _ranges(rows: DataFrame, parts: int) -> DataFrame:
     return rows.repartitionById(len(bounds) + 1, F.coalesce(under(0, len(bounds)), F.lit(0)))
 
 
+#: Bytes of the input, as the engine's statistics have it, in a part of the files at most, about; parts at most.
+PART, MOST = 128 << 20, 1_000_000
+
+
 def write_tokens(docs: DataFrame, path: str | None = None, vocabulary: str | None = None, end: int = 0, block: int = BLOCK, lanes: int = LANES, every: int = EVERY) -> str:
     """Write the token files of docs (doc_id, text); the folder's path. See the module for nulls, ties and empty tables.
 
@@ -230,7 +234,9 @@ def write_tokens(docs: DataFrame, path: str | None = None, vocabulary: str | Non
     ship(spark)
     path = path or fresh_path(spark, "tokens")
     vocabulary = vocabulary or bpe.vocabulary()
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size < 1 << 60  # an input without statistics counts as endless
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST, -(-size // PART)) if known else 0)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = _ranges(rows, parts).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     plain = stored(rows.mapInArrow(_to_blocks(vocabulary, end, block), _ROWS), "token-blocks", compression="snappy")
