@@ -1,10 +1,12 @@
 """Byte-level BPE ids through the tokenizers library, with a per-process cache of pieces.
 
-The library's own encode() spends most of its time on pre-tokenisation and alignment. For texts made of
-characters whose class is beyond doubt, the pre-tokenisation pattern runs here and each distinct piece
-goes to the library's BPE model once; every other text goes whole to the library's encode().
+The library's own encode() spends most of its time on pre-tokenisation and alignment. Texts made of characters whose
+class is beyond doubt are cut here instead, many at once, and each distinct piece goes to the library's BPE model once;
+every other text goes whole to the library's encode().
 
-Many texts are cut at once, so that each distinct piece among them is looked up once.
+The pre-tokenisation pattern of byte-level vocabularies takes contractions after an apostrophe; runs of letters, of
+digits, or of other characters, each with a blank before it; and runs of white space, without the last one where more
+text follows. Where its pieces begin follows from the classes of neighbouring characters, so whole arrays are cut.
 """
 
 from __future__ import annotations
@@ -24,22 +26,49 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Entries of each of the two generations of one worker process's cache, about 0.2 KB each, and characters of an entry at most.
 CACHE, LONGEST = 300_000, 64
 #: Characters of texts that are cut at once, about.
-TOGETHER = 4_000_000
+TOGETHER = 2_000_000
 
 _held: dict[str, "Encoder"] = {}
 
 
-def _latin_pattern() -> tuple[re.Pattern, re.Pattern]:
-    """The byte-level pre-tokenisation pattern over a fixed range of characters, and a search for any other character."""
+_LETTER, _DIGIT, _OTHER, _SPACE, _END = range(5)
+#: Stands between texts; no text that is cut here has it.
+_STOP = "\0"
+
+
+def _classes() -> tuple[np.ndarray, re.Pattern]:
+    """The class of each character of a fixed range, and a search for any other character."""
     plain = [c for c in (*range(0x21, 0x7F), *range(0xA1, 0x250), *range(0x2010, 0x2028), *range(0x2030, 0x205F)) if c != 0xAD]
-    letters = "".join(chr(c) for c in plain if unicodedata.category(chr(c))[0] == "L")
-    digits = "".join(chr(c) for c in plain if unicodedata.category(chr(c))[0] == "N")
-    cls = re.escape
-    pieces = re.compile(
-        rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{cls(letters)}]+| ?[{cls(digits)}]+| ?[^\s{cls(letters)}{cls(digits)}]+|\s+(?!\S)|\s+"
-    )
-    other = re.compile("[^\\t\\n\\r " + "".join(cls(chr(c)) for c in plain) + "]")
-    return pieces, other
+    table = np.full(0x2060, _OTHER, np.uint8)
+    for c in plain:
+        table[c] = {"L": _LETTER, "N": _DIGIT}.get(unicodedata.category(chr(c))[0], _OTHER)
+    table[[9, 10, 13, 32]] = _SPACE
+    table[ord(_STOP)] = _END
+    return table, re.compile("[^\\t\\n\\r " + "".join(re.escape(chr(c)) for c in plain) + "]")
+
+
+def _begins(chars: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Where pieces begin in texts, each with _STOP behind it."""
+    kind = table[chars]
+    space = kind == _SPACE
+    out = np.ones(len(chars), bool)
+    out[1:] = kind[1:] != kind[:-1]
+    out |= kind == _END
+    solid = kind < _SPACE
+    out[:-1] |= space[:-1] & solid[1:]  # the last of a run of white space before text
+    out[1:] &= ~((chars[:-1] == 32) & solid[1:])  # which, if it is a blank, goes with the text
+    for i in np.flatnonzero((chars[:-1] == 39) & out[:-1] & (kind[1:] == _LETTER)).tolist():
+        size = _contraction(chars[i + 1 : i + 3])
+        if size:
+            out[i + 1 : i + 1 + size] = False
+            out[i + 1 + size] = True
+    return np.flatnonzero(out)
+
+
+def _contraction(after: np.ndarray) -> int:
+    """Letters that belong to an apostrophe before them."""
+    text = "".join(map(chr, after.tolist()))
+    return 1 if text[0] in "stmd" else 2 if text in ("re", "ve", "ll") else 0
 
 
 def _byte_letters() -> dict[int, str]:
@@ -78,7 +107,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.vocab_size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pieces, self.other = _latin_pattern()
+        self.classes, self.other = _classes()
         self.letters = {chr(b): c for b, c in _byte_letters().items()}
         self.table = str.maketrans(self.letters)
         self.blank = self.letters[" "]
@@ -117,27 +146,36 @@ class Encoder:
         yield from self._together(held)
 
     def _together(self, texts: list[str]) -> Iterator[bytes]:
-        cut = [self.pieces.findall(t) if self._sure(t) else None for t in texts]
-        counts = [len(c) for c in cut if c is not None]
-        coded = pa.array([p for c in cut if c for p in c], pa.string()).dictionary_encode()
-        cut = [c is None for c in cut]
+        sure = [self._sure(t) for t in texts]
+        joined = "".join(t + _STOP for t, s in zip(texts, sure, strict=True) if s)
+        chars = np.frombuffer(joined.encode("utf-32-le"), "<u4")
+        first = _begins(chars, self.classes)
+        stops = np.flatnonzero(chars[first] == 0)  # which pieces end a text
+        data = joined.encode("utf-8")
+        if len(data) != len(chars):
+            width = 1 + (chars >= 0x80).astype(np.int32) + (chars >= 0x800)
+            first = (np.cumsum(width) - width)[first]
+        offsets = np.append(first, len(data)).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.string(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        coded = pieces.dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False)
-        cells = list(map(self.cache.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False)))
+        cells = [b"" if p == _STOP else self.cache[p] for p in coded.dictionary.to_numpy(zero_copy_only=False)]
+        del chars, first, pieces, joined
         sizes = np.fromiter(map(len, cells), np.int64, len(cells)) // 4
         table = np.frombuffer(b"".join(cells), "<u4")
-        first = np.cumsum(sizes) - sizes
+        start = np.cumsum(sizes) - sizes
         each = sizes[codes]
         ends = np.cumsum(each)
-        ids = table[np.repeat(first[codes] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]).astype(np.int64)].tolist()
-        data = memoryview(ids).cast("B")
+        ids = table[np.repeat(start[codes] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = [0, *ends[stops].tolist()]
+        out = memoryview(np.ascontiguousarray(ids)).cast("B")
         k = 0
-        for text, whole in zip(texts, cut, strict=True):
-            if whole:
-                yield self._whole(text)
-            else:
-                yield bytes(data[4 * bounds[k] : 4 * bounds[k + 1]])
+        for text, s in zip(texts, sure, strict=True):
+            if s:
+                yield bytes(out[4 * bounds[k] : 4 * bounds[k + 1]])
                 k += 1
+            else:
+                yield self._whole(text)
 
 
 def encoder(path: str, cache: int = CACHE) -> Encoder:

@@ -121,3 +121,20 @@ def test_op9_full_pieces_stand_alone(spark):
     got = packing.pack(data.frame(spark, [(1, "tie " * 500), (2, "tie " * 500), (3, None), (None, "a b c")]), capacity=16).collect()
     full = [r.sequence_id for r in got if r.length == 16]
     assert len(set(full)) == len(full) > 50 and not set(full) & {r.sequence_id for r in got if r.length < 16}
+
+
+def test_pieces_are_cut_as_the_library_cuts_them():
+    from quillon.llm import bpe
+
+    rng = random.Random(3)
+    bits = [" ", "  ", "\n", "\t", "\r\n", "'s", "'t", "'re", "'ve", "'ll", "'d", "'m", "'", " '", "''", "a", "The", "naïve", "é", "ß", "×", "÷", "42", "½", "²", "…", "–", "don't", "it's'll",
+            "'sabc", "'rest", "'lly", "!!", "?", ".", "<|endoftext|>", "日本", "x1y2", "«", "-", "_", "I'M", "\x0b", "\xa0", " \n", " \n x", "\n 's", " 're", "’s", "\x00"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, 30))) for _ in range(3000)] + ["".join(rng.choices(bits[:35], k=rng.randint(0, 12))) for _ in range(3000)] + [None, "", " ", "\n", "'s"]
+    enc = bpe.Encoder(bpe.vocabulary(), cache=500)
+    assert sum(enc._sure(t or "") for t in texts) > 2000
+    for together in (1, 300, 10**7):
+        bpe.TOGETHER, held = together, bpe.TOGETHER
+        try:
+            assert [list(np.frombuffer(x, "<u4")) for x in enc.encode_many(texts)] == [enc.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+        finally:
+            bpe.TOGETHER = held
