@@ -5,7 +5,8 @@ encoding is inferred (hex, base32, alphanumeric or base64), and over its alphabe
 chi-squared of uniformity, the number of runs of the alphabet's halves, and lag-one serial correlation.
 
 Each string's p-value says how likely ordinary text of that length would look as random. Of two tests the better
-counts, at half the level each: chi-squared as low as the string's, and a likelihood ratio. The latter holds symbols
+counts, at half the level each: chi-squared as low as the string's where letters, digits and signs are as many as in it
+but drawn by their shares in words, and a likelihood ratio. The latter holds symbols
 drawn evenly against a model of ordinary strings: letters of one case, digits and signs come in stretches, and letters
 by their shares in words. Ordinary strings of the model exceed a ratio of x with a probability of 1/x at most, whatever
 their length and style, so that strings of 20 symbols can be told as well. The three tests' own p-values, of as much
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,14 +37,13 @@ _LONG = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 _MARK = "\x01"
 
 _UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
-#: Encodings in the order in which they are tried: name, alphabet, pattern, and what each symbol of ordinary text adds
-#: to chi-squared: size * sum(p * p) - 1, with p the shares of symbols in words and numbers.
+#: Encodings in the order in which they are tried: name, alphabet and pattern.
 ENCODINGS = (
-    ("hex", _DIGITS + "abcdef", r"^(?:[0-9a-f]+|[0-9A-F]+)$", 0.6),
-    ("base32", _UPPER + "234567", r"^[A-Z2-7]+=*$", 1.1),
-    ("alnum", _DIGITS + _UPPER + _LOWER, r"^[A-Za-z0-9]+$", 3.0),
-    ("base64", _UPPER + _LOWER + _DIGITS + "+/", r"^[A-Za-z0-9+/]+=*$", 3.2),
-    ("base64url", _UPPER + _LOWER + _DIGITS + "-_", r"^[A-Za-z0-9_-]+=*$", 3.2),
+    ("hex", _DIGITS + "abcdef", r"^(?:[0-9a-f]+|[0-9A-F]+)$"),
+    ("base32", _UPPER + "234567", r"^[A-Z2-7]+=*$"),
+    ("alnum", _DIGITS + _UPPER + _LOWER, r"^[A-Za-z0-9]+$"),
+    ("base64", _UPPER + _LOWER + _DIGITS + "+/", r"^[A-Za-z0-9+/]+=*$"),
+    ("base64url", _UPPER + _LOWER + _DIGITS + "-_", r"^[A-Za-z0-9_-]+=*$"),
 )
 #: Ordinary strings, by styles: how a symbol's kind (lower case, upper case, digit, sign) follows the kind before it.
 #: Rows are scaled to the kinds that an alphabet has; names and paths are one style, constants in upper case another.
@@ -141,6 +142,23 @@ def ordinary(alphabet: str) -> tuple[dict[str, float], dict[str, float], list[di
     return symbols, first, [{a + b: math.log(style[a][b] / sum(style[a][k] for k in kinds)) for a in kinds for b in kinds} for style in styles]
 
 
+def repeats(alphabet: str) -> list[tuple[int, int, float]]:
+    """Where each kind's symbols stand in an alphabet, how many they are, and the chance that two ordinary symbols of
+    that kind are equal."""
+    out = []
+    for kind, own in groupby(alphabet, _kind):
+        symbols = list(own)
+        shares = [_SHARES[c.lower()] if kind in "lu" else 1.0 for c in symbols]
+        out.append((alphabet.index(symbols[0]), len(symbols), sum(x * x for x in shares) / sum(shares) ** 2))
+    return out
+
+
+def _extra(counts: Column, n: Column, alphabet: str) -> Column:
+    """What each symbol of ordinary text adds to chi-squared, where as many of each kind occur as in the string."""
+    parts = [F.pow(_sum(F.slice(counts, at + 1, size)) / n, F.lit(2.0)) * chance for at, size, chance in repeats(alphabet)]
+    return F.greatest(sum(parts, F.lit(0.0)) * len(alphabet) - 1, F.lit(0.0))
+
+
 def _ratio(s: Column, n: Column, counts: Column, alphabet: str, even: Column) -> Column:
     """log10 of the likelihood of s as symbols drawn from `even` ones over that as an ordinary string of the style it fits best."""
     symbols, first, styles = ordinary(alphabet)
@@ -168,7 +186,7 @@ def battery(value: Column) -> Column:
     """
 
     def tested(k: int, s: Column) -> Column:
-        _, alphabet, _, extra = ENCODINGS[k]
+        _, alphabet, _ = ENCODINGS[k]
         size = len(alphabet)
 
         def of(x: Column) -> Column:  # s, n, the halves as a string of 0 and 1, places in the alphabet, and counts of its symbols
@@ -181,7 +199,7 @@ def battery(value: Column) -> Column:
             squares = lambda d: F.greatest(_sum(F.transform(d, lambda a: a * a)), F.lit(1e-9))
             serial = _let(_let(_sum(place) / n, lambda m: F.transform(place, lambda y: y - m)), lambda d: pairs(d) / squares(d))
             serial_p = 2 * _normal(-F.abs((serial + 1 / n) * F.sqrt(n)))
-            z = lambda c: (c - (size - 1 + n * extra)) / F.sqrt(2 * (size - 1 + 2 * n * extra))
+            z = lambda c: _let(_extra(counts, n, alphabet), lambda x: (c - (size - 1 + n * x)) / F.sqrt(2 * (size - 1 + 2 * n * x)))
             # an even draw has the whole alphabet or, where that has two cases, one of them: three draws of which any may be it
             one_case = size - len(_LOWER)
             even = F.when(s.rlike("[a-z]") & s.rlike("[A-Z]"), F.lit(float(size))).otherwise(float(one_case)) if size > 36 else F.lit(float(size))
@@ -205,7 +223,7 @@ def battery(value: Column) -> Column:
     body = F.regexp_replace(value, "=+$", "")
     plain = F.struct(F.lit(-1).alias("encoding"), F.length(body).alias("n"), F.lit(0.0).alias("chi2"), *[F.lit(1.0).alias(x) for x in ("chi2_p", "runs_p", "serial_p", "joint_p")], F.lit(0.0).alias("evidence"))
     out = F.when(~value.rlike("[0-9]") | ~value.rlike("[A-Za-z]") | (F.length(body) < 20), plain)
-    for k, (name, _, pattern, _) in enumerate(ENCODINGS):
+    for k, (name, _, pattern) in enumerate(ENCODINGS):
         out = out.when(value.rlike(pattern), tested(k, F.lower(body) if name == "hex" else body))
     return out.otherwise(plain)
 

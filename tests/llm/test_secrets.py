@@ -77,7 +77,7 @@ def test_op6_finds_short_keys_of_every_encoding(spark):
 
 def test_op6_ratio_matches_plain_version(spark):
     rng = random.Random(9)
-    for name, alphabet, _, _ in secrets.ENCODINGS:
+    for name, alphabet, _ in secrets.ENCODINGS:
         symbols, first, styles = secrets.ordinary(alphabet)
         assert abs(sum(math.exp(symbols[c] + first[secrets._kind(c)]) for c in alphabet) - 1) < 1e-9
         assert all(abs(sum(math.exp(style[a + b]) for b in first) - 1) < 1e-9 for style in styles for a in first)
@@ -102,7 +102,7 @@ def plain_battery(value):
     if not re.search("[0-9]", value) or not re.search("[A-Za-z]", value) or len(body) < 20:
         return None
     k = next(k for k, e in enumerate(secrets.ENCODINGS) if re.search(e[2], value))
-    name, alphabet, _, extra = secrets.ENCODINGS[k]
+    name, alphabet, _ = secrets.ENCODINGS[k]
     s = body.lower() if name == "hex" else body
     n, size = len(s), len(alphabet)
     place = [alphabet.index(c) for c in s]
@@ -123,6 +123,13 @@ def plain_battery(value):
         chi2_p = phi(-(-(abs(x) ** (1 / 3)) - 1 + spare) / math.sqrt(spare))
     half = -sum(math.log(max(p, 1e-30)) for p in (chi2_p, runs_p, serial_p))
     joint = math.exp(-half) * (1 + half + half * half / 2)
+    extra = 0.0
+    for own in (string.digits, string.ascii_uppercase, string.ascii_lowercase, "+/-_"):
+        symbols = [c for c in alphabet if c in own]
+        shares = [secrets._SHARES[c.lower()] if c.isalpha() else 1 for c in symbols]
+        if symbols:
+            extra += size * (sum(s.count(c) for c in symbols) / n) ** 2 * sum((x / sum(shares)) ** 2 for x in shares)
+    extra = max(0.0, extra - 1)
     low = phi((chi2 - (size - 1 + n * extra)) / math.sqrt(2 * (size - 1 + 2 * n * extra)))
     symbols, first, styles = secrets.ordinary(alphabet)
     kinds = [secrets._kind(c) for c in s]
@@ -134,7 +141,7 @@ def plain_battery(value):
 
 def test_op6_battery_and_control_match_plain_versions(spark):
     rng = random.Random(12)
-    texts = ["".join(rng.choices(a, k=rng.randint(15, 80))) + rng.choice(["", "=", "=="]) for _, a, _, _ in secrets.ENCODINGS for _ in range(40)]
+    texts = ["".join(rng.choices(a, k=rng.randint(15, 80))) + rng.choice(["", "=", "=="]) for _, a, _ in secrets.ENCODINGS for _ in range(40)]
     texts += ["a1" * 20, "Release2Candidate3Package", "0123456789abcdef" * 3, "1" * 30 + "a", "abcdefghij1234567890", "A1" + "B" * 40, "CAFE" * 8 + "12"]
     got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, s string").select("i", secrets.battery(F.col("s")).alias("b")).collect()
     evidences = []
