@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import islice
 
@@ -79,6 +80,7 @@ def fillings(first: int, counts: dict[int, int], capacity: int) -> Iterator[Shap
     it could give way to a single longer one that fits."""
     room = capacity - first
     lengths = sorted((x for x, n in counts.items() if n > (x == first) and x <= room), reverse=True)
+    shorter = [-x for x in lengths]
     most = [min(counts[x] - (x == first), room // x) for x in lengths]
     mask = (1 << (room + 1)) - 1
     reach = [1]  # from the end: bit t is set if the lengths from there on have fillings of sum t
@@ -93,20 +95,21 @@ def fillings(first: int, counts: dict[int, int], capacity: int) -> Iterator[Shap
 
     def grow(k: int, left: int) -> Iterator[list[tuple[int, int]]]:
         """Fillings of sum `left` exactly from lengths[k:]."""
-        while left and k < len(lengths) and not (lengths[k] <= left and most[k]):
-            k += 1
         if not left:
             yield []
             return
-        if k == len(lengths):
-            return
-        x = lengths[k]
-        for n in range(min(most[k], left // x), -1, -1):
-            if reach[k + 1] >> (left - n * x) & 1:
-                for tail in grow(k + 1, left - n * x):
-                    yield [(x, n)] * (n > 0) + tail
+        for j in range(max(k, bisect_left(shorter, -left)), len(lengths)):
+            x = lengths[j]
+            for n in range(min(most[j], left // x), 0, -1):
+                if reach[j + 1] >> (left - n * x) & 1:
+                    for tail in grow(j + 1, left - n * x):
+                        yield [(x, n), *tail]
+            if not reach[j + 1] >> left & 1:
+                return
 
     def undominated(shape: list[tuple[int, int]], waste: int) -> bool:
+        if not waste:
+            return True
         held = dict(shape)
         free = [x for x, n in zip(lengths, most, strict=True) if counts[x] - (x == first) > held.get(x, 0)]
         return not any(y <= waste for y in free) and not any(x < y <= x + waste for x in held for y in free)
